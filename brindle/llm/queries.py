@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import linededup, mixing, token_planes, topk_bsi
+from brindle.llm import langid, linededup, mixing, packing, quality, token_planes, topk_bsi, toxicity
 from brindle.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op2_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_planes.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op3_word_backoff_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predicted(table(spark, sf_dir, "documents"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digest(table(spark, sf_dir, "documents"))
 
@@ -28,8 +32,23 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(table(spark, sf_dir, "documents"))
 
 
+def op6_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.predicted(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op10_segment_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.predicted(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = (op1_bitsliced_topk, op2_token_planes, op3_word_backoff_langid, op4_line_dedup, op5_source_mix, op6_neighbour_quality, op9_retrieval_packing, op10_segment_toxicity)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bitsliced_topk, op2_token_planes, op4_line_dedup, op5_source_mix)}
+    return {f.__name__: f for f in QUERIES}
 
 
 TOPK_SQL = """
