@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import langid, linededup, mixing, packing, quality, token_planes, topk_bsi, toxicity, vector_dedup
+from brindle.llm import langid, linededup, mixing, packing, probminhash, quality, token_planes, topk_bsi, toxicity, vector_dedup
 from brindle.llm.common import table
 
 
@@ -40,6 +40,10 @@ def op7_pq_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op8_probminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return probminhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -48,7 +52,7 @@ def op10_segment_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predicted(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = (op1_bitsliced_topk, op2_token_planes, op3_word_backoff_langid, op4_line_dedup, op5_source_mix, op6_neighbour_quality, op7_pq_vector_dedup, op9_retrieval_packing, op10_segment_toxicity)
+QUERIES = (op1_bitsliced_topk, op2_token_planes, op3_word_backoff_langid, op4_line_dedup, op5_source_mix, op6_neighbour_quality, op7_pq_vector_dedup, op8_probminhash_dedup, op9_retrieval_packing, op10_segment_toxicity)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
