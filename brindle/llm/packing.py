@@ -49,13 +49,19 @@ def signature(ids: np.ndarray) -> int:
     return int((h >> np.uint64(1)).min())
 
 
+def _kind(vocabulary: int) -> str:
+    """Little-endian ids of two bytes where the vocabulary allows."""
+    return "<u2" if vocabulary <= 1 << 16 else "<u4"
+
+
 def _encode(tokenizer: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = encoder(tokenizer)
+        kind = _kind(len(made.ends))
         for batch in batches:
             doc_ids, blobs, ns, sigs = batch.column(0).to_pylist(), [], [], []
             for ids in made.encode_documents(batch.column(1).to_pylist()):
-                blobs.append(ids.tobytes())
+                blobs.append(ids.astype(kind).tobytes())
                 ns.append(len(ids))
                 sigs.append(signature(ids))
             yield pa.record_batch([pa.array(doc_ids, pa.int64()), pa.array(blobs, pa.binary()), pa.array(ns, pa.int64()), pa.array(sigs, pa.int64())], schema=ENCODED)
@@ -65,10 +71,12 @@ def _encode(tokenizer: str):
 
 def _frequencies(vocabulary: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df = np.zeros(vocabulary, np.int64)
+        df, kind = np.zeros(vocabulary, np.int64), _kind(vocabulary)
         for batch in batches:
             for blob in batch.column(0).to_pylist():
-                df[np.unique(np.frombuffer(blob, "<u4"))] += 1
+                seen = np.zeros(vocabulary, bool)
+                seen[np.frombuffer(blob, kind)] = True
+                df[seen] += 1
         at = np.flatnonzero(df)
         yield pa.record_batch([pa.array(at, pa.int64()), pa.array(df[at], pa.int64())], ["token", "df"])
 
@@ -157,7 +165,7 @@ def _pack(idf: np.ndarray, average: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        sequence = TaskContext.get().partitionId() << 40
+        sequence, kind = TaskContext.get().partitionId() << 40, _kind(len(idf))
         keys: list = []
         docs: list[np.ndarray] = []
         held = 0
@@ -171,7 +179,7 @@ def _pack(idf: np.ndarray, average: float):
         for batch in batches:
             for doc_id, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 keys.append(doc_id)
-                docs.append(np.frombuffer(blob, "<u4"))
+                docs.append(np.frombuffer(blob, kind).astype("<u4"))
                 held += len(docs[-1])
                 if held >= SHARD_TOKENS or len(docs) >= SHARD_DOCS:
                     yield flush()
