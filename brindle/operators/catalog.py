@@ -150,7 +150,7 @@ class Catalog:
         if not self.files.exists(table.path):
             raw = self.spark.createDataFrame([], table.schema)
         else:
-            raw = self.spark.read.schema(table.schema).parquet(table.path)
+            raw = self.spark.read.schema(table.schema).option("recursiveFileLookup", "true").parquet(table.path)
         return raw.select([F.col(c.physical).alias(c.name) for c in table.columns])
 
     def kind(self, name: str, args: tuple[int, ...]) -> LogicalType:
