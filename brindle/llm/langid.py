@@ -12,7 +12,6 @@ learnt; a null doc_id counts as not held out; rows with a null lang teach nothin
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -21,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import held_out, prepare
+from brindle.llm.common import held_out, prepare, stored
+from brindle.llm.words import cut_words, in_parts, sums_of
 
 SAMPLE_DOCS = 2000
 MOST_WORDS = 60_000
@@ -32,9 +32,6 @@ BACKOFF = 0.4
 EVIDENCE_WORDS = 20
 CACHE_WORDS = 300_000
 
-WORDS = re.compile(r"[^\W\d_]+").findall
-
-
 def grams_of(word: str) -> Iterator[str]:
     held = f"\x02{word}\x03"
     for n in range(1, LONGEST + 1):
@@ -45,9 +42,12 @@ def grams_of(word: str) -> Iterator[str]:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words: dict[str, Counter] = {}
     for batch in batches:
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if text:
-                words.setdefault(lang, Counter()).update(WORDS(text.lower()))
+        langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for lang in sorted(set(langs)):
+            for part in in_parts([t for own, t in zip(langs, texts, strict=True) if own == lang]):
+                cut = cut_words(part)
+                times = np.bincount(cut.places, minlength=len(cut.words))
+                words.setdefault(lang, Counter()).update({w: n for w, n in zip(cut.words, times.tolist(), strict=True) if n})
     for lang, found in words.items():
         grams: Counter = Counter()
         for word, n in found.items():
@@ -66,11 +66,13 @@ class BackoffModel:
         """words, grams: from the item, its count in each language."""
         self.langs = langs
         self.words = self._logs(words)
-        self.grams: dict[str, np.ndarray] = {}
+        discounted: dict[str, np.ndarray] = {}
         for n in range(1, LONGEST + 1):
-            self.grams |= self._logs({g: c for g, c in grams.items() if len(g) == n})
+            discounted |= {g: x * BACKOFF ** (LONGEST - n) for g, x in self._logs({g: c for g, c in grams.items() if len(g) == n}).items()}
+        self.grams = {g: i for i, g in enumerate(discounted)}
+        self.gram_scores = np.array(list(discounted.values())).reshape(len(discounted), len(langs))
         self.memo: dict[str, int] = {}
-        self.rows: list[np.ndarray] = []
+        self.rows = np.zeros((0, len(langs)))
 
     def _logs(self, table: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
         if not table:
@@ -83,40 +85,43 @@ class BackoffModel:
         found = self.words.get(word)
         if found is not None:
             return found
-        held, at, total, parts = f"\x02{word[:200]}\x03", 0, np.zeros(len(self.langs)), 0
-        while at < len(held):
-            for n in range(min(LONGEST, len(held) - at), 0, -1):
-                g = self.grams.get(held[at : at + n])
+        held, known = f"\x02{word[:200]}\x03", self.grams.get
+        size, parts = len(held), []
+        for at in range(size):
+            for end in range(min(at + LONGEST, size), at, -1):
+                g = known(held[at:end])
                 if g is not None:
-                    total += g * BACKOFF ** (LONGEST - n)
-                    parts += 1
+                    parts.append(g)
                     break
-            at += 1
-        return total / max(1, parts)
+        return self.gram_scores[parts].sum(axis=0) / max(1, len(parts))
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        words = WORDS(text.lower()) if text else []
-        if not words or not self.langs:
-            return "und", 0.0
+    def _places(self, words: list[str]) -> np.ndarray:
+        """Rows of the words' scores; unknown words are scored and remembered."""
         if len(self.memo) > CACHE_WORDS:
-            self.memo, self.rows = {}, []
+            self.memo, self.rows = {}, self.rows[:0]
         memo = self.memo
         places = list(map(memo.get, words))
-        if None in places:
-            for i, p in enumerate(places):
-                if p is None:
-                    p = memo.get(words[i])
-                    if p is None:
-                        p = memo[words[i]] = len(self.rows)
-                        self.rows.append(self.word_scores(words[i]))
-                    places[i] = p
-        used, times = np.unique(np.asarray(places), return_counts=True)
-        total = times @ np.array([self.rows[i] for i in used.tolist()])
-        total = (total - total.max()) * min(1.0, EVIDENCE_WORDS / len(words))
+        fresh = []
+        for i, p in enumerate(places):
+            if p is None:
+                places[i] = memo[words[i]] = len(memo)
+                fresh.append(self.word_scores(words[i]))
+        if fresh:
+            self.rows = np.concatenate([self.rows, np.array(fresh)])
+        return np.asarray(places, np.int64)
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        cut = cut_words(texts)
+        n = np.diff(cut.bounds)
+        if not self.langs:
+            return [("und", 0.0)] * len(texts)
+        rows = self._places(cut.words)[cut.places]
+        total = np.column_stack([sums_of(self.rows[rows, i], cut.bounds) for i in range(len(self.langs))])
+        total = (total - total.max(axis=1, keepdims=True)) * np.minimum(1.0, EVIDENCE_WORDS / np.maximum(n, 1))[:, None]
         chance = np.exp(total)
-        chance /= chance.sum()
-        best = int(np.argmax(chance))
-        return self.langs[best], float(chance[best])
+        chance /= chance.sum(axis=1, keepdims=True)
+        best = np.argmax(chance, axis=1)
+        return [(self.langs[b], float(c[b])) if k else ("und", 0.0) for k, b, c in zip(n.tolist(), best.tolist(), chance, strict=True)]
 
 
 def fit(docs: DataFrame, training: Column) -> BackoffModel:
@@ -128,6 +133,7 @@ def fit(docs: DataFrame, training: Column) -> BackoffModel:
     share = F.create_map(*[F.lit(x) for lang in langs for x in (lang, min(1.0, SAMPLE_DOCS / counts[lang]))])
     drawn = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) < F.element_at(share, F.col("lang")) * 1_000_000
     counted = known.where(F.col("doc_id").isNull() | drawn).select("lang", "text").mapInArrow(_count, "lang string, kind string, item string, n long")
+    counted = stored(counted.groupBy("lang", "kind", "item").agg(F.sum("n").alias("n")), "language-counts")
     wide = counted.groupBy("kind", "item").pivot("lang", langs).agg(F.sum("n")).fillna(0)
     total = sum((F.col(f"`{lang}`") for lang in langs), F.lit(0))
     wide = wide.select("kind", "item", F.array(*[F.col(f"`{lang}`") for lang in langs]).alias("c"), total.alias("n"))
@@ -142,7 +148,7 @@ def _predict(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for batch in batches:
-            got = [m.predict(t) for t in batch.column(2).to_pylist()]
+            got = [x for part in in_parts(batch.column(2).to_pylist()) for x in m.predict(part)]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     return run
