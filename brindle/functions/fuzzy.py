@@ -28,16 +28,16 @@ def as_bytes(text: str) -> str:
 
 def similarity_sql(column: str, needle: str) -> str:
     low = as_bytes(needle)
-    hay = f"decode(encode({column}, 'UTF-8'), 'ISO-8859-1')"
     if len(low) < GRAM:
         return f"CASE WHEN {column} IS NULL THEN NULL WHEN {column} = {quoted(needle)} THEN 1.0D ELSE 0.0D END"
-    grams = [low[i : i + GRAM] for i in range(len(low) - GRAM + 1)][:MOST_GRAMS]
-    counts = Counter(grams)
-    array = f"array({', '.join(quoted(g) for g in counts)})"
-    pairs = f"array({', '.join(f'named_struct({chr(39)}g{chr(39)}, {quoted(g)}, {chr(39)}n{chr(39)}, {n})' for g, n in counts.items())})"
-    met = f"filter(transform(sequence(1, length({hay}) - {GRAM - 1}), i -> substring({hay}, i, {GRAM})), h -> array_contains({array}, h))"
-    shared = f"aggregate({pairs}, 0, (total, p) -> total + least(p.n, size(filter({met}, h -> h = p.g))))"
-    return f"CASE WHEN {column} IS NULL THEN NULL WHEN length({hay}) < {GRAM} THEN 0.0D ELSE CAST({shared} AS DOUBLE) / (length({hay}) - {GRAM - 1} + {len(grams)} - {shared}) END"
+    counts = Counter([low[i : i + GRAM] for i in range(len(low) - GRAM + 1)][:MOST_GRAMS])
+    n = sum(counts.values())
+    known = f"array({', '.join(quoted(g) for g in counts)})"
+    wanted = f"array({', '.join(f'struct({quoted(g)} AS g, {k} AS n)' for g, k in counts.items())})"
+    # A one-element array stands for a variable: bytes, then the grams that the needle has, then how many are shared.
+    met = f"filter(transform(sequence(1, length(hay) - {GRAM - 1}), i -> substring(hay, i, {GRAM})), h -> array_contains({known}, h))"
+    shared = f"transform(transform(array({met}), met -> aggregate({wanted}, 0, (total, p) -> total + least(p.n, size(filter(met, h -> h = p.g))))), shared -> CAST(shared AS DOUBLE) / (length(hay) - {GRAM - 1} + {n} - shared))[0]"
+    return f"transform(array(decode(encode({column}, 'UTF-8'), 'ISO-8859-1')), hay -> CASE WHEN hay IS NULL THEN NULL WHEN length(hay) < {GRAM} THEN 0.0D ELSE {shared} END)[0]"
 
 
 def edit_distance_sql(column: str, needle: str) -> str:
