@@ -19,7 +19,7 @@ Texts with the same words are collapsed first.  Candidates are then verified on
 The result has each document's class (the least id with the same words) and its component.
 
 Defined cases: a null text is a class of its own; texts without words are copies of each other; texts with fewer than five words have
-one shingle of all their words; rows that repeat a doc_id count once, as the least text; a null doc_id is returned kept and alone;
+one shingle of all their words; rows that repeat a doc_id count once, as one of its texts; a null doc_id is returned kept and alone;
 an empty table gives no row; ties go to the least id.
 """
 
@@ -42,8 +42,10 @@ BANDS, ROWS = 28, 6
 SLOTS = BANDS * ROWS
 #: Members of a verification or comparison task's group, at most about.
 CHUNK = 512
-#: A pair whose signatures agree in fewer slots is at the threshold with a chance of about 1 in 30,000.
-AGREE = round(SLOTS * (THRESHOLD - 4 * (THRESHOLD * (1 - THRESHOLD) / SLOTS) ** 0.5))
+#: Three standard errors below the threshold: a pair at 0.8 agrees in fewer slots with a chance of 0.001, one at 0.83 of 0.00002.
+AGREE = round(SLOTS * (THRESHOLD - 3 * (THRESHOLD * (1 - THRESHOLD) / SLOTS) ** 0.5))
+#: Bits of the filter that keeps texts which no pair needs from being shuffled.
+FILTER_BITS = 1 << 23
 #: Shingles signed together.
 SIGN_TOGETHER = 300_000
 
@@ -184,7 +186,10 @@ def _verify(threshold: float):
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Groups of (key, i, j): members of two blocks of a bucket; pairs of different components whose signatures agree enough."""
+    """Groups of (key, i, j): members of two blocks of a bucket; pairs of different components whose signatures agree enough.
+
+    A pair that meets in several buckets is given in that of its first shared band alone.
+    """
     now: tuple | None = None
     rows: list[tuple] = []
 
@@ -194,6 +199,8 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         side = np.array([r[0] for r in rows])
         ids, component = np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
         sig = np.frombuffer(b"".join(r[3] for r in rows), "<u2").reshape(len(rows), SLOTS)
+        bands = np.array([r[4] for r in rows], np.int64)
+        key = now[0]
         left = np.flatnonzero(side == now[1])
         right = np.flatnonzero(side == now[2])
         a, b = [], []
@@ -201,20 +208,29 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             others = right[(component[right] != component[x]) & ((ids[right] > ids[x]) | (now[1] != now[2]))]
             if len(others):
                 near = others[(sig[others] == sig[x]).sum(axis=1) >= AGREE]
+                near = near[bands[x][np.argmax(bands[near] == bands[x], axis=1)] == key] if len(near) else near
                 a += [min(int(ids[x]), int(ids[y])) for y in near]
                 b += [max(int(ids[x]), int(ids[y])) for y in near]
         if a:
             yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["pivot", "id"])
 
     for batch in batches:
-        for key, i, j, block, doc_id, component, sig in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for key, i, j, block, doc_id, component, sig, bands in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if (key, i, j) != now:
                 yield from close()
                 now, rows = (key, i, j), []
-            rows.append((block, doc_id, component, sig))
+            rows.append((block, doc_id, component, sig, bands))
     yield from close()
 
 
+def needed_texts(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts (id, text) of the ids, and a few more: those that a bitmap of the ids' hashes, broadcast at a fixed size, lets through."""
+    place = F.pmod(F.xxhash64("id", F.lit(21)), F.lit(FILTER_BITS))
+    bits = ids.select(F.shiftright(place, 6).alias("word"), place.alias("place")).selectExpr("word", "shiftleft(1L, cast(place & 63 as int)) AS bit").groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    at = texts.withColumn("place", place).withColumn("word", F.shiftright("place", 6))
+    return at.join(F.broadcast(bits), "word").where("shiftright(bits, cast(place & 63 as int)) & 1 = 1").select("id", "text")  # at most FILTER_BITS / 64 rows are broadcast
+
+
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """The pairs (pivot, id) whose texts (id, text) reach the threshold, as (a, b).
 
@@ -223,7 +239,8 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     sizes = pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("salts"))
     asked = pairs.join(sizes, "pivot").select("pivot", F.pmod(F.xxhash64("id"), F.col("salts")).alias("salt"), F.lit(True).alias("other"), "id")
     bases = sizes.select("pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("other"), F.col("pivot").alias("id"))
-    needed = asked.union(bases).join(texts, "id").select("pivot", "salt", "other", "id", "text")
+    found = needed_texts(texts, pairs.select("id").union(pairs.select("pivot")))
+    needed = asked.union(bases).join(found.hint("merge"), "id").select("pivot", "salt", "other", "id", "text")
     dealt = needed.repartition(shuffle_width(pairs.sparkSession), "pivot", "salt").sortWithinPartitions("pivot", "salt", "other", "id")
     return dealt.mapInArrow(_verify(threshold), "a long, b long")
 
@@ -237,11 +254,12 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     prepare(spark)
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = stored(whole.where("text IS NOT NULL AND doc_id IS NOT NULL").mapInArrow(_sign, SIGNED_DDL), "signed")
-    prints = signed.groupBy("doc_id").agg(F.min(F.struct("fp1", "fp2")).alias("f")).select("doc_id", "f.fp1", "f.fp2")
-    classes = prints.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("class_id"))
-    of_class = stored(classes, "classes")
-    reps = signed.join(of_class.select("fp1", "fp2", F.col("class_id").alias("doc_id")), ["doc_id", "fp1", "fp2"], "left_semi").dropDuplicates(["doc_id"])
-    reps = stored(reps.select(F.col("doc_id").alias("id"), "fp1", "fp2", "bands", "sig"), "reps")
+    if not signed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():  # of rows that repeat a doc_id, one stays
+        signed = stored(signed.groupBy("doc_id").agg(F.min(F.struct("fp1", "fp2", "bands", "sig")).alias("r")).select("doc_id", "r.*"), "signed-once")
+    prints = signed.select("doc_id", "fp1", "fp2")
+    # Texts of a class have the same words, and so the same bands and signature.
+    reps = stored(signed.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "reps")
+    of_class = reps.select("fp1", "fp2", F.col("id").alias("class_id"))
 
     texts = whole.withColumnRenamed("doc_id", "id").where("text IS NOT NULL AND id IS NOT NULL")
     spread = reps.select("id", F.explode("bands").alias("key"))
@@ -256,11 +274,11 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     placed = stored(buckets.join(first, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component")), "placed")
     several = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("n").alias("size")).where("low <> high").select("key", F.ceil(F.col("size") / CHUNK).alias("blocks"))
-    split = placed.select("key", "id", "component").join(several, "key").join(reps.select("id", "sig"), "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    split = placed.select("key", "id", "component").join(several, "key").join(reps.select("id", "sig", "bands"), "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
     meets = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("block")).alias("i"), F.greatest(x, F.col("block")).alias("j")))
-    blocks = split.withColumn("m", F.explode(meets)).select("key", "m.i", "m.j", "block", "id", "component", "sig")
+    blocks = split.withColumn("m", F.explode(meets)).select("key", "m.i", "m.j", "block", "id", "component", "sig", "bands")
     dealt = blocks.repartition(shuffle_width(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
-    rest = dealt.mapInArrow(_compare, "pivot long, id long").distinct()
+    rest = dealt.mapInArrow(_compare, "pivot long, id long")
     rest = stored(rest.join(pairs, (rest.pivot == pairs.pivot) & (rest.id == pairs.id), "left_anti").join(pairs, (rest.pivot == pairs.id) & (rest.id == pairs.pivot), "left_anti"), "rest")
     more = stored(verified(rest, texts, threshold), "more")
     second = links.union(more)
