@@ -6,11 +6,13 @@ Each entry is (dialect, oracle); an oracle of None is the dialect's own text, wh
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brindle.errors import ConstraintViolation
 from brindle.session import Engine
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
@@ -168,6 +170,60 @@ def explain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine_over(spark, sf_dir, FLAGSHIP).sql(f"EXPLAIN {FLAGSHIP}")
 
 
+def own_engine(spark: SparkSession) -> Engine:
+    """An engine with a new database of its own in the warehouse."""
+    out = Engine(spark, f"{spark.conf.get('spark.sql.warehouse.dir')}/brindle-queries/{uuid.uuid4().hex[:10]}")
+    out.sql("create database q")
+    return out
+
+
+def import_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customers written as CSV and imported again, types being inferred."""
+    e = own_engine(spark)
+    path = f"{e.catalog.folder}/customers"
+    engine_over(spark, sf_dir, "customer").export_csv("customer", path)
+    return e.sql(f"import into c from '{path}'; select c_custkey, c_name, c_acctbal, c_mktsegment from c where c_nationkey < 5").withColumn("c_acctbal", F.round(F.col("c_acctbal").cast("double"), 2))
+
+
+def refused(e: Engine, text: str) -> None:
+    """Runs a batch that a constraint stops."""
+    try:
+        e.sql(text)
+    except ConstraintViolation:
+        return
+    raise AssertionError("no constraint was violated")
+
+
+def insert_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = own_engine(spark)
+    e.sql("create table p (id u32 primary key, name string8 not null, n i32 check (n > 3)); create table c (id u32, p u32 references p(id)); insert into p values (1, 'a', 4), (2, 'b', 5)")
+    refused(e, "insert into p values (3, 'c', 9), (1, 'd', 9), (4, 'e', 9)")
+    refused(e, "insert into p values (5, null, 9)")
+    refused(e, "insert into p (id, name) values (6, 'f')")
+    refused(e, "insert into c values (1, 2), (2, null), (3, 77)")
+    return e.sql("select p.id, p.name, c.id as child from p left join c on p.id = c.p")
+
+
+def delete_restrict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = own_engine(spark)
+    e.sql("create table p (id u32 unique, v i32); create table c (p u32 references p(id)); insert into p values (1, 10), (2, 20), (3, null), (4, 40); insert into c values (2), (null)")
+    refused(e, "delete from p where v > 15")
+    e.sql("delete from p where v > 25")
+    return e.sql("select id, v from p")
+
+
+def typed_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = own_engine(spark)
+    e.sql("create type size as enum ('small', 'middle', 'large'); create table t (s size, d date, x decimal(6,2), b bool); insert into t values ('large', '2024-02-31', 2.345, true), ('small', '2024-01-01', -2.345, false), ('middle', '2023-12-31', 0.5, true)")
+    return e.sql("select s, d, x from t where s > 'small' and d >= '2023-12-31' and x != 99.5 and b = true order by s desc").select("s", F.col("d").cast("string").alias("d"), F.col("x").cast("double").alias("x"))
+
+
+def altered_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = own_engine(spark)
+    e.sql("create table t (a i32, b string8); insert into t values (1, 'x'); create index i on t (a); alter table t add column c i64; insert into t values (2, 'y', 5); alter table t drop column b; alter table t rename to u")
+    return e.sql("select a, c from u")
+
+
 SPECIAL: dict[str, tuple[Callable, str | None]] = {
     "approx_count_distinct": (approx_distinct, "SELECT l_returnflag, true AS within FROM lineitem GROUP BY l_returnflag"),
     "approx_percentile": (approx_percentile, "SELECT l_returnflag, true AS within FROM lineitem GROUP BY l_returnflag"),
@@ -176,6 +232,11 @@ SPECIAL: dict[str, tuple[Callable, str | None]] = {
     "describe": (describe, None),
     "analyze": (analyze, "SELECT 'nation' AS \"Table\", (SELECT count(*) FROM nation) AS \"Rows\", c AS \"Column\", d AS \"Distinct\", 0::BIGINT AS \"Nulls\" FROM (SELECT 'n_nationkey' AS c, count(DISTINCT n_nationkey) AS d FROM nation UNION ALL SELECT 'n_name', count(DISTINCT n_name) FROM nation UNION ALL SELECT 'n_regionkey', count(DISTINCT n_regionkey) FROM nation)"),
     "explain": (explain, None),
+    "import_csv": (import_csv, "SELECT c_custkey, c_name, round(c_acctbal, 2) AS c_acctbal, c_mktsegment FROM customer WHERE c_nationkey < 5"),
+    "insert_constraints": (insert_constraints, "SELECT * FROM (VALUES (1::BIGINT, 'a', NULL::BIGINT), (2, 'b', 1), (3, 'c', NULL)) t(id, name, child)"),
+    "delete_restrict": (delete_restrict, "SELECT * FROM (VALUES (1::BIGINT, 10), (2, 20), (3, NULL)) t(id, v)"),
+    "typed_columns": (typed_columns, "SELECT * FROM (VALUES ('large', '2024-03-02', 2.35::DOUBLE), ('middle', '2023-12-31', 0.5)) t(s, d, x)"),
+    "altered_table": (altered_table, "SELECT * FROM (VALUES (1, NULL::BIGINT), (2, 5)) t(a, c)"),
 }
 
 
