@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from brindle.errors import ConstraintViolation
 from brindle.session import Engine
@@ -120,10 +121,21 @@ QUERIES |= {
 }
 
 
+_schemas: dict[tuple[str, str], StructType] = {}
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table; its schema is read from the files once for each session and path."""
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _schemas:
+        _schemas[key] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[key]).parquet(path)
+
+
 def engine_over(spark: SparkSession, sf_dir: str, text: str) -> Engine:
     """An engine with those of the driver's tables attached that the text names."""
     named = [n for n in TABLES if re.search(rf"\b{n}\b", text)]
-    return Engine.over(spark, {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in named})
+    return Engine.over(spark, {n: read_table(spark, f"{sf_dir}/{n}.parquet") for n in named})
 
 
 def run(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
