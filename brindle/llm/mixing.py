@@ -152,8 +152,9 @@ def mix(docs: DataFrame, members: Column, weights=cyclic_weights, most_uses: int
     at = at.withColumn("extra", chosen)
 
     spare = at.where("NOT extra AND gap > 0 AND size > 0 AND size <= gap").groupBy("key", "gap", "doc_id").agg(F.sum("size").alias("size"), F.first("draw").alias("draw")).where("size <= gap")
-    sized_class = Window.partitionBy("key", F.floor(F.log2("size"))).orderBy(F.desc("size"), "draw", "doc_id")
-    candidates = spare.withColumn("r", F.row_number().over(sized_class)).where(F.col("r") <= CANDIDATES).collect()  # at most CANDIDATES a size class
+    # The largest of each size class in each of CANDIDATES parts of the hash: pre-aggregated, and at most so many a class.
+    best = spare.groupBy("key", "gap", F.floor(F.log2("size")).alias("class"), F.pmod("draw", F.lit(CANDIDATES)).alias("part")).agg(F.max(F.struct("size", "draw", "doc_id")).alias("m"))
+    candidates = best.select("key", "gap", "m.*").collect()
     picks = []
     by_key: dict = {}
     for c in candidates:
