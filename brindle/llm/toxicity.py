@@ -18,7 +18,6 @@ class or none in training, every text scores 0; rows without a label teach nothi
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -27,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import held_out, prepare
+from brindle.llm.common import held_out, prepare, stored
+from brindle.llm.words import cut_words, in_parts
 
 SAMPLE_DOCS = 5000
 PRIOR = 0.1
@@ -39,9 +39,6 @@ CACHE_WORDS = 400_000
 #: Words and beginnings the model keeps, those of the largest standardised log-odds.
 MOST_WORDS = 50_000
 
-WORDS = re.compile(r"[^\W\d_]+").findall
-
-
 def maximal_segments(places: list[int], scores: list[float], toll: float) -> list[tuple[int, int, float]]:
     """All maximal scoring segments, in linear time: (first place, last place, score).
 
@@ -77,33 +74,37 @@ class SegmentModel:
             found = next((s for k in BEGINNINGS if len(word) > k and (s := self.scores.get("^" + word[:k])) is not None), 0.0)
         return found
 
-    def segments(self, text: str | None) -> tuple[int, list[tuple[int, int, float]]]:
-        words = WORDS(text.lower()) if text else []
+    def segments(self, texts: list[str | None]) -> list[tuple[int, list[tuple[int, int, float]]]]:
+        """Each text's number of words and its maximal segments (first word, last word, score)."""
         if len(self.memo) > CACHE_WORDS:
             self.memo = {}
-        memo = self.memo
-        scores = list(map(memo.get, words))
-        if None in scores:
-            for i, s in enumerate(scores):
-                if s is None:
-                    scores[i] = memo[words[i]] = self.word_score(words[i])
-        places = [i for i, s in enumerate(scores) if s]
-        return len(words), maximal_segments(places, [scores[i] for i in places], TOLL) if places else []
-
-    def significant(self, text: str | None) -> list[tuple[int, int, float, float]]:
-        """(first word, last word, score, evidence) of each significant segment."""
-        n, found = self.segments(text)
-        floor = math.log(max(n, 1)) + self.log_k
-        rows = [(a, b, s, self.rate * s - floor) for a, b, s in found]
-        return [r for r in rows if r[3] > -math.log(EXPECTED)]
-
-    def evidence(self, text: str | None) -> float:
-        return sum(r[3] for r in self.significant(text))
-
-    def score(self, text: str | None) -> float:
+        memo, cut = self.memo, cut_words(texts)
+        scores = list(map(memo.get, cut.words))
+        for i, s in enumerate(scores):
+            if s is None:
+                scores[i] = memo[cut.words[i]] = self.word_score(cut.words[i])
+        scored = np.asarray(scores, float)[cut.places] if len(cut.places) else np.empty(0)
+        hits = np.flatnonzero(scored)
+        of_text = np.searchsorted(hits, cut.bounds)
+        out = []
+        for a, b, i, j in zip(cut.bounds[:-1].tolist(), cut.bounds[1:].tolist(), of_text[:-1].tolist(), of_text[1:].tolist(), strict=True):
+            out.append((b - a, maximal_segments((hits[i:j] - a).tolist(), scored[hits[i:j]].tolist(), TOLL) if j > i else []))
+        return out
+
+    def significant(self, texts: list[str | None]) -> list[list[tuple[int, int, float, float]]]:
+        """(first word, last word, score, evidence) of each text's significant segments."""
+        out = []
+        for n, found in self.segments(texts):
+            floor = math.log(max(n, 1)) + self.log_k
+            rows = [(a, b, s, self.rate * s - floor) for a, b, s in found]
+            out.append([r for r in rows if r[3] > -math.log(EXPECTED)])
+        return out
+
+    def score(self, texts: list[str | None]) -> list[float]:
         if not self.known:
-            return 0.0
-        return 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, self.base + self.slope * self.evidence(text)))))
+            return [0.0] * len(texts)
+        evidence = [sum(r[3] for r in rows) for rows in self.significant(texts)]
+        return [1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, self.base + self.slope * x)))) for x in evidence]
 
 
 def log_odds(toxic: np.ndarray, clean: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -134,11 +135,14 @@ def chance_rate(shares: np.ndarray, scores: np.ndarray) -> float:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     found: dict[int, Counter] = {0: Counter(), 1: Counter()}
     for batch in batches:
-        for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if text:
-                words = set(WORDS(text.lower()))
-                found[label].update(words)
-                found[label].update({"^" + w[:k] for w in words for k in BEGINNINGS if len(w) > k})
+        labels, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for label in (0, 1):
+            for part in in_parts([t for y, t in zip(labels, texts, strict=True) if y == label]):
+                cut = cut_words(part)
+                for a, b in zip(cut.bounds[:-1].tolist(), cut.bounds[1:].tolist(), strict=True):
+                    words = [cut.words[i] for i in np.unique(cut.places[a:b]).tolist()]
+                    found[label].update(words)
+                    found[label].update({"^" + w[:k] for w in words for k in BEGINNINGS if len(w) > k})
     rows = [(w, found[1][w], found[0][w]) for w in found[0].keys() | found[1].keys()]
     for i in range(0, len(rows), 20_000):
         part = list(zip(*rows[i : i + 20_000], strict=True))
@@ -160,7 +164,9 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column) -> SegmentModel:
     sample = labelled_sample(docs, labels, "toxic", training, SAMPLE_DOCS)
     if sample is None:
         return SegmentModel({}, known=False)
+    sample = stored(sample, "labelled")
     counted = sample.mapInArrow(_count, "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counted = stored(counted, "word-counts")
     sums = counted.agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).first()
     # A word counts if its log-odds can stand out at all; the rest only adds to the sums.
     rows = counted.where("toxic >= 3 AND toxic * CAST(%d AS DOUBLE) > clean * CAST(%d AS DOUBLE)" % (sums.c or 0, sums.t or 0)).orderBy(F.desc("toxic"), "word").limit(MOST_WORDS * 4).collect()
@@ -181,11 +187,11 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column) -> SegmentModel:
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ys, ns, tops, alls = batch.column(0).to_pylist(), [], [], []
-            for text in batch.column(1).to_pylist():
-                n, found = sent.value.segments(text)
-                ns.append(n)
-                tops.append(max([s for *_, s in found], default=0.0))
-                alls.append([s for *_, s in found])
+            for part in in_parts(batch.column(1).to_pylist()):
+                for n, found in sent.value.segments(part):
+                    ns.append(n)
+                    tops.append(max([s for *_, s in found], default=0.0))
+                    alls.append([s for *_, s in found])
             yield pa.record_batch([pa.array(ys, pa.int32()), pa.array(ns, pa.int64()), pa.array(tops, pa.float64()), pa.array(alls, pa.list_(pa.float64()))], ["y", "n", "top", "all"])
 
     seen = sample.mapInArrow(best, "y int, n long, top double, all array<double>").collect()  # the sample, without texts
@@ -218,7 +224,7 @@ def _score(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for batch in batches:
-            scores = [m.score(t) for t in batch.column(2).to_pylist()]
+            scores = [x for part in in_parts(batch.column(2).to_pylist()) for x in m.score(part)]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(scores, pa.float64())], ["doc_id", "held_out", "score"])
 
     return run
