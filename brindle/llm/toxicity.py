@@ -7,7 +7,10 @@ and every word pays ``TOLL``, so that the expected score of clean text is negati
 scoring segments of a text.  A segment of score S in a text of n words is expected K n exp(-lambda S) times
 by chance (lambda solves the score distribution's equation on clean text, K is fitted to clean training texts), and every
 segment with less than ``EXPECTED`` expected occurrences is significant.  A text's evidence is the sum of
-lambda S - log(K n) over its significant segments; a logistic fit on the training sample turns it into a score.
+lambda S - log(K n) over its significant segments; a logistic fit of its logarithm on the training sample gives the score.
+
+A passage that many toxic texts share would make its words look toxic.  So a word's toxic texts count only as far as the words
+before it differ: the neighbours are dealt to ``NEIGHBOURS`` cells, and the number of filled cells says how many differ.
 
 Counts come from a sample of about ``SAMPLE_DOCS`` labelled training documents of each class, drawn by a hash of the id.
 
@@ -18,6 +21,7 @@ class or none in training, every text scores 0; rows without a label teach nothi
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -36,6 +40,8 @@ TOLL = 0.5
 EXPECTED = 0.05
 BEGINNINGS = (7, 6, 5, 4)
 CACHE_WORDS = 400_000
+#: Cells that tell a word's neighbours apart, one bit each.
+NEIGHBOURS = 63
 #: Words and beginnings the model keeps, those of the largest standardised log-odds.
 MOST_WORDS = 50_000
 
@@ -103,7 +109,7 @@ class SegmentModel:
     def score(self, texts: list[str | None]) -> list[float]:
         if not self.known:
             return [0.0] * len(texts)
-        evidence = [sum(r[3] for r in rows) for rows in self.significant(texts)]
+        evidence = [math.log1p(sum(r[3] for r in rows)) for rows in self.significant(texts)]
         return [1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, self.base + self.slope * x)))) for x in evidence]
 
 
@@ -134,19 +140,35 @@ def chance_rate(shares: np.ndarray, scores: np.ndarray) -> float:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     found: dict[int, Counter] = {0: Counter(), 1: Counter()}
+    seen: dict[str, int] = {}
     for batch in batches:
         labels, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for label in (0, 1):
             for part in in_parts([t for y, t in zip(labels, texts, strict=True) if y == label]):
                 cut = cut_words(part)
+                cells = [1 << zlib.crc32(w.encode()) % NEIGHBOURS for w in cut.words] if label else []
                 for a, b in zip(cut.bounds[:-1].tolist(), cut.bounds[1:].tolist(), strict=True):
-                    words = [cut.words[i] for i in np.unique(cut.places[a:b]).tolist()]
-                    found[label].update(words)
-                    found[label].update({"^" + w[:k] for w in words for k in BEGINNINGS if len(w) > k})
-    rows = [(w, found[1][w], found[0][w]) for w in found[0].keys() | found[1].keys()]
+                    places, first = np.unique(cut.places[a:b], return_index=True)
+                    items: dict[str, int] = {}
+                    for place, at in zip(places.tolist(), first.tolist(), strict=True):
+                        word, cell = cut.words[place], cells[int(cut.places[a + at - 1])] if label and at else 1
+                        for item in (word, *("^" + word[:k] for k in BEGINNINGS if len(word) > k)):
+                            items.setdefault(item, cell)
+                    found[label].update(items.keys())
+                    if label:
+                        for item, cell in items.items():
+                            seen[item] = seen.get(item, 0) | cell
+    rows = [(w, found[1][w], found[0][w], seen.get(w, 0)) for w in found[0].keys() | found[1].keys()]
     for i in range(0, len(rows), 20_000):
         part = list(zip(*rows[i : i + 20_000], strict=True))
-        yield pa.record_batch([pa.array(part[0]), pa.array(part[1], pa.int64()), pa.array(part[2], pa.int64())], ["word", "toxic", "clean"])
+        yield pa.record_batch([pa.array(part[0]), *(pa.array(x, pa.int64()) for x in part[1:])], ["word", "toxic", "clean", "cells"])
+
+
+def differing(counts: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    """Counts as far as their neighbours differ: by the number of filled cells (linear counting), never more than the counts."""
+    filled = np.bitwise_count(cells).astype(float)
+    spread = -NEIGHBOURS * np.log1p(-np.minimum(filled, NEIGHBOURS - 1) / NEIGHBOURS)
+    return np.where(filled >= NEIGHBOURS - 3, counts, np.minimum(counts, spread))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, training: Column, per_class: int) -> DataFrame | None:
@@ -165,7 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column) -> SegmentModel:
     if sample is None:
         return SegmentModel({}, known=False)
     sample = stored(sample, "labelled")
-    counted = sample.mapInArrow(_count, "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counted = sample.mapInArrow(_count, "word string, toxic long, clean long, cells long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.bit_or("cells").alias("cells"))
     counted = stored(counted, "word-counts")
     sums = counted.agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).first()
     # A word counts if its log-odds can stand out at all; the rest only adds to the sums.
@@ -174,6 +196,7 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column) -> SegmentModel:
         return SegmentModel({}, known=False)
     toxic, clean = np.array([r.toxic for r in rows], float), np.array([r.clean for r in rows], float)
     other_t, other_c = sums.t - toxic.sum(), sums.c - clean.sum()
+    toxic = differing(toxic, np.array([r.cells for r in rows], np.int64))
     odds, z = log_odds(np.append(toxic, other_t), np.append(clean, other_c))
     odds, z = odds[:-1], z[:-1]
     keep = np.flatnonzero((z > Z) & (odds > 2 * TOLL))
@@ -199,7 +222,7 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column) -> SegmentModel:
     # By the extreme-value law the expected exp(rate * top) / n of clean texts gives K; at least a small share of them may reach it.
     reached = sum(1 for n, s in clean_tops if s > 0)
     model.log_k = math.log(max((reached + 1) / (sum(n for n, _ in clean_tops) + 1), 1e-12)) + (model.rate * float(np.median([s for _, s in clean_tops if s > 0])) if reached else 0.0)
-    x = np.array([sum(e for s in r.all if (e := model.rate * s - math.log(max(r.n, 1)) - model.log_k) > -math.log(EXPECTED)) for r in seen])
+    x = np.log1p([sum(e for s in r.all if (e := model.rate * s - math.log(max(r.n, 1)) - model.log_k) > -math.log(EXPECTED)) for r in seen])
     y = np.array([r.y for r in seen], float)
     model.slope, model.base = _logistic(x, y)
     return model
