@@ -236,7 +236,7 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 
     A pivot's text goes once to each group of about ``CHUNK`` that are compared with it.
     """
-    sizes = pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("salts"))
+    sizes = stored(pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("salts")), "pivots")  # written, so that the join below has two exchanges and a hot pivot can be split
     asked = pairs.join(sizes, "pivot").select("pivot", F.pmod(F.xxhash64("id"), F.col("salts")).alias("salt"), F.lit(True).alias("other"), "id")
     bases = sizes.select("pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("other"), F.col("pivot").alias("id"))
     found = needed_texts(texts, pairs.select("id").union(pairs.select("pivot")))
