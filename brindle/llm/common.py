@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import math
 import shutil
 import tempfile
@@ -39,9 +40,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_cleaned: set[str] = set()
+
+
 def scratch(spark: SparkSession, what: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/brindle/{what}-{uuid.uuid4().hex[:12]}"
+    """A new path in the shared folder, under a folder of this application that goes when Python ends."""
+    folder = f"{shared_dir(spark)}/brindle-{spark.sparkContext.applicationId}"
+    if folder not in _cleaned:
+        _cleaned.add(folder)
+        atexit.register(_swept, spark, folder)
+    return f"{folder}/{what}-{uuid.uuid4().hex[:12]}"
+
+
+def _swept(spark: SparkSession, folder: str) -> None:
+    with contextlib.suppress(Exception):  # the session may be gone
+        removed(spark, folder)
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
