@@ -7,7 +7,6 @@ import pytest
 from brindle.__main__ import main
 from brindle.serving.postgres import PostgresServer
 from brindle.serving.text import Sessions, TextServer
-from brindle.session import Engine
 
 
 @pytest.fixture
