@@ -40,8 +40,8 @@ WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 28, 6
 SLOTS = BANDS * ROWS
-#: Members of a verification or comparison task's group, at most about.
-CHUNK = 512
+#: Texts compared with one copy of a pivot's text, and members of a block of a bucket, at most about.
+CHUNK, BLOCK = 512, 192
 #: Three standard errors below the threshold: a pair at 0.8 agrees in fewer slots with a chance of 0.001, one at 0.83 of 0.00002.
 AGREE = round(SLOTS * (THRESHOLD - 3 * (THRESHOLD * (1 - THRESHOLD) / SLOTS) ** 0.5))
 #: Bits of the filter that keeps texts which no pair needs from being shuffled.
@@ -273,7 +273,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     first = components(links)
 
     placed = stored(buckets.join(first, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component")), "placed")
-    several = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("n").alias("size")).where("low <> high").select("key", F.ceil(F.col("size") / CHUNK).alias("blocks"))
+    several = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("n").alias("size")).where("low <> high").select("key", F.ceil(F.col("size") / BLOCK).alias("blocks"))
     split = placed.select("key", "id", "component").join(several, "key").join(reps.select("id", "sig", "bands"), "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
     meets = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("block")).alias("i"), F.greatest(x, F.col("block")).alias("j")))
     blocks = split.withColumn("m", F.explode(meets)).select("key", "m.i", "m.j", "block", "id", "component", "sig", "bands")

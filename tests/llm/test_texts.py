@@ -240,6 +240,7 @@ def brute_components(rows):
 
 def test_near_duplicates_against_brute_force(spark, odd, empty, monkeypatch):
     monkeypatch.setattr(probminhash, "CHUNK", 4)
+    monkeypatch.setattr(probminhash, "BLOCK", 4)
     rng = random.Random(13)
     rows = []
     for g in range(12):
