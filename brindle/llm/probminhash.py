@@ -41,7 +41,7 @@ THRESHOLD = 0.8
 BANDS, ROWS = 28, 6
 SLOTS = BANDS * ROWS
 #: Texts compared with one copy of a pivot's text, and members of a block of a bucket, at most about.
-CHUNK, BLOCK = 512, 192
+CHUNK, BLOCK = 128, 192
 #: Three standard errors below the threshold: a pair at 0.8 agrees in fewer slots with a chance of 0.001, one at 0.83 of 0.00002.
 AGREE = round(SLOTS * (THRESHOLD - 3 * (THRESHOLD * (1 - THRESHOLD) / SLOTS) ** 0.5))
 #: Bits of the filter that keeps texts which no pair needs from being shuffled.
