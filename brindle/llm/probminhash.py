@@ -1,10 +1,11 @@
 """Near-duplicate texts by ProbMinHash signatures, banding and verification.
 
-A text is its set of five-word shingles (lower-cased, cut at white space), each weighted 1 + ln(occurrences).  A ProbMinHash
+A text is its set of five-word shingles (lower-cased, cut at white space), however often each occurs.  A ProbMinHash
 signature has, for each of ``SLOTS`` slots, the shingle whose exponential clock of rate weight rang there first: a shingle's
 arrivals are a Poisson process whose times and slots follow from its hash alone, and they are made only while
 they can still be the first in some slot (early termination).  Two texts agree in a slot with the
-chance of their probability Jaccard similarity.  Texts that agree in all ``ROWS`` slots of a band are candidates;
+chance of their probability Jaccard similarity.  All shingles weigh 1, so that this is the Jaccard similarity of the sets, by which
+links are decided: weights by occurrences would part texts of which one repeats a passage.  Texts that agree in all ``ROWS`` slots of a band are candidates;
 at 0.8 a pair is missed by all ``BANDS`` bands with a chance of 0.0002.
 
 Texts with the same words are collapsed first.  Candidates are then verified on their whole shingle sets
@@ -12,8 +13,9 @@ Texts with the same words are collapsed first.  Candidates are then verified on
 
 1. In each bucket every text is compared with one pivot, the text that meets most others over all its buckets
    (in a group of copies that is the one nearest to all), and the links give components.
-2. In buckets that still hold several components, pairs of different components are compared, first by their
-   signatures (a pair far below the threshold is left), then on their shingles.  Large buckets are cut into
+2. In buckets that still hold several components, pairs of different components are compared, first by how many
+   shingles each has in ``CELLS`` parts of the hashes (a pair is left only if the lesser counts don't add up to what the threshold
+   asks, which loses nothing), then on their shingles.  Large buckets are cut into
    blocks that meet in pairs of blocks, so no task holds a bucket.
 
 The result has each document's class (the least id with the same words) and its component.
@@ -42,8 +44,8 @@ BANDS, ROWS = 28, 6
 SLOTS = BANDS * ROWS
 #: Texts compared with one copy of a pivot's text, and members of a block of a bucket, at most about.
 CHUNK, BLOCK = 128, 192
-#: Three standard errors below the threshold: a pair at 0.8 agrees in fewer slots with a chance of 0.001, one at 0.83 of 0.00002.
-AGREE = round(SLOTS * (THRESHOLD - 3 * (THRESHOLD * (1 - THRESHOLD) / SLOTS) ** 0.5))
+#: Parts of the hashes in which a text's shingles are counted, and the count that stands for any from there on.
+CELLS, FULL = 128, 65_535
 #: Bits of the filter that keeps texts which no pair needs from being shuffled.
 FILTER_BITS = 1 << 23
 #: Shingles signed together.
@@ -112,8 +114,20 @@ def signatures(sets: list[np.ndarray], weights: list[np.ndarray]) -> np.ndarray:
     return who.reshape(n, SLOTS)
 
 
-SIGNED = pa.schema([("doc_id", pa.int64()), ("fp1", pa.int64()), ("fp2", pa.int64()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary())])
-SIGNED_DDL = "doc_id long, fp1 long, fp2 long, bands array<long>, sig binary"
+def cells_of(found: np.ndarray) -> bytes:
+    """How many of a set's hashes are in each cell."""
+    return np.minimum(np.bincount((found % np.uint64(CELLS)).astype(np.int64), minlength=CELLS), FULL).astype("<u2").tobytes()
+
+
+def may_link(one: np.ndarray, others: np.ndarray, threshold: float) -> np.ndarray:
+    """Which others (rows of counts) can reach the threshold with one: false only where no sets with these counts do."""
+    shared = np.minimum(others, one).sum(axis=1)
+    unknown = (others == FULL).any(axis=1) | (one == FULL).any()  # counts cut at FULL: more may be shared
+    return unknown | (shared * (1 + threshold) >= threshold * (one.sum() + others.sum(axis=1)) - 1e-6)
+
+
+SIGNED = pa.schema([("doc_id", pa.int64()), ("fp1", pa.int64()), ("fp2", pa.int64()), ("bands", pa.list_(pa.int64())), ("cells", pa.binary())])
+SIGNED_DDL = "doc_id long, fp1 long, fp2 long, bands array<long>, cells binary"
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,24 +135,20 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         prints, todo = [], []
         bands: list = [None] * len(ids)
-        sigs: list = [None] * len(ids)
+        cells: list = [None] * len(ids)
         sets: list[np.ndarray] = []
-        weights: list[np.ndarray] = []
 
         def sign() -> None:
             if todo:
-                got = signatures(sets, weights)
+                got = signatures(sets, [np.ones(len(s)) for s in sets])
                 with np.errstate(over="ignore"):
                     key = np.tile(np.arange(BANDS, dtype=np.uint64), (len(todo), 1))
                     for r in range(ROWS):
                         key = mixed(key ^ got[:, r::ROWS][:, :BANDS]) if r == 0 else mixed(key * _C + got[:, r::ROWS][:, :BANDS])
-                short = got.astype("<u2")
                 for j, i in enumerate(todo):
                     bands[i] = key[j].view(np.int64)
-                    sigs[i] = short[j].tobytes()
             todo.clear()
             sets.clear()
-            weights.clear()
 
         waiting = 0
         for i, text in enumerate(texts):
@@ -146,17 +156,17 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             digest = xxhash.xxh3_128_digest(" ".join(words))
             prints.append(np.frombuffer(digest, np.int64))
             if words:
-                found, times = np.unique(shingles(words), return_counts=True)
+                found = np.unique(shingles(words))
                 todo.append(i)
                 sets.append(found)
-                weights.append(1 + np.log(times))
+                cells[i] = cells_of(found)
                 waiting += len(found)
                 if waiting >= SIGN_TOGETHER:
                     sign()
                     waiting = 0
         sign()
         p = np.array(prints).reshape(len(ids), 2)
-        yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], schema=SIGNED)
+        yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array(bands, pa.list_(pa.int64())), pa.array(cells, pa.binary())], schema=SIGNED)
 
 
 def _verify(threshold: float):
@@ -185,42 +195,46 @@ def _verify(threshold: float):
     return run
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Groups of (key, i, j): members of two blocks of a bucket; pairs of different components whose signatures agree enough.
+def _compare(threshold: float):
+    """Groups of (key, i, j): members of two blocks of a bucket; pairs of different components that can reach the threshold by their counts.
 
     A pair that meets in several buckets is given in that of its first shared band alone.
     """
-    now: tuple | None = None
-    rows: list[tuple] = []
-
-    def close() -> Iterator[pa.RecordBatch]:
-        if not rows:
-            return
-        side = np.array([r[0] for r in rows])
-        ids, component = np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
-        sig = np.frombuffer(b"".join(r[3] for r in rows), "<u2").reshape(len(rows), SLOTS)
-        bands = np.array([r[4] for r in rows], np.int64)
-        key = now[0]
-        left = np.flatnonzero(side == now[1])
-        right = np.flatnonzero(side == now[2])
-        a, b = [], []
-        for x in left.tolist():
-            others = right[(component[right] != component[x]) & ((ids[right] > ids[x]) | (now[1] != now[2]))]
-            if len(others):
-                near = others[(sig[others] == sig[x]).sum(axis=1) >= AGREE]
-                near = near[bands[x][np.argmax(bands[near] == bands[x], axis=1)] == key] if len(near) else near
-                a += [min(int(ids[x]), int(ids[y])) for y in near]
-                b += [max(int(ids[x]), int(ids[y])) for y in near]
-        if a:
-            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["pivot", "id"])
 
-    for batch in batches:
-        for key, i, j, block, doc_id, component, sig, bands in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if (key, i, j) != now:
-                yield from close()
-                now, rows = (key, i, j), []
-            rows.append((block, doc_id, component, sig, bands))
-    yield from close()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: tuple | None = None
+        rows: list[tuple] = []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if not rows:
+                return
+            side = np.array([r[0] for r in rows])
+            ids, component = np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
+            counts = np.frombuffer(b"".join(r[3] for r in rows), "<u2").reshape(len(rows), CELLS).astype(np.int64)
+            bands = np.array([r[4] for r in rows], np.int64)
+            key = now[0]
+            left = np.flatnonzero(side == now[1])
+            right = np.flatnonzero(side == now[2])
+            a, b = [], []
+            for x in left.tolist():
+                others = right[(component[right] != component[x]) & ((ids[right] > ids[x]) | (now[1] != now[2]))]
+                if len(others):
+                    near = others[may_link(counts[x], counts[others], threshold)]
+                    near = near[bands[x][np.argmax(bands[near] == bands[x], axis=1)] == key] if len(near) else near
+                    a += [min(int(ids[x]), int(ids[y])) for y in near]
+                    b += [max(int(ids[x]), int(ids[y])) for y in near]
+            if a:
+                yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["pivot", "id"])
+
+        for batch in batches:
+            for key, i, j, block, doc_id, component, cells, bands in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (key, i, j) != now:
+                    yield from close()
+                    now, rows = (key, i, j), []
+                rows.append((block, doc_id, component, cells, bands))
+        yield from close()
+
+    return run
 
 
 def needed_texts(texts: DataFrame, ids: DataFrame) -> DataFrame:
@@ -255,10 +269,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = stored(whole.where("text IS NOT NULL AND doc_id IS NOT NULL").mapInArrow(_sign, SIGNED_DDL), "signed")
     if not signed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():  # of rows that repeat a doc_id, one stays
-        signed = stored(signed.groupBy("doc_id").agg(F.min(F.struct("fp1", "fp2", "bands", "sig")).alias("r")).select("doc_id", "r.*"), "signed-once")
+        signed = stored(signed.groupBy("doc_id").agg(F.min(F.struct("fp1", "fp2", "bands", "cells")).alias("r")).select("doc_id", "r.*"), "signed-once")
     prints = signed.select("doc_id", "fp1", "fp2")
-    # Texts of a class have the same words, and so the same bands and signature.
-    reps = stored(signed.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "reps")
+    # Texts of a class have the same words, and so the same bands and counts.
+    reps = stored(signed.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("cells").alias("cells")), "reps")
     of_class = reps.select("fp1", "fp2", F.col("id").alias("class_id"))
 
     texts = whole.withColumnRenamed("doc_id", "id").where("text IS NOT NULL AND id IS NOT NULL")
@@ -274,11 +288,11 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     placed = stored(buckets.join(first, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component")), "placed")
     several = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("n").alias("size")).where("low <> high").select("key", F.ceil(F.col("size") / BLOCK).alias("blocks"))
-    split = placed.select("key", "id", "component").join(several, "key").join(reps.select("id", "sig", "bands"), "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    split = placed.select("key", "id", "component").join(several, "key").join(reps.select("id", "cells", "bands"), "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
     meets = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("block")).alias("i"), F.greatest(x, F.col("block")).alias("j")))
-    blocks = split.withColumn("m", F.explode(meets)).select("key", "m.i", "m.j", "block", "id", "component", "sig", "bands")
+    blocks = split.withColumn("m", F.explode(meets)).select("key", "m.i", "m.j", "block", "id", "component", "cells", "bands")
     dealt = blocks.repartition(shuffle_width(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
-    rest = dealt.mapInArrow(_compare, "pivot long, id long")
+    rest = dealt.mapInArrow(_compare(threshold), "pivot long, id long")
     rest = stored(rest.join(pairs, (rest.pivot == pairs.pivot) & (rest.id == pairs.id), "left_anti").join(pairs, (rest.pivot == pairs.id) & (rest.id == pairs.pivot), "left_anti"), "rest")
     more = stored(verified(rest, texts, threshold), "more")
     second = links.union(more)

@@ -260,6 +260,34 @@ def test_near_duplicates_against_brute_force(spark, odd, empty, monkeypatch):
     assert probminhash.near_duplicates(empty).count() == 0
 
 
+def test_near_copies_that_repeat_a_passage(spark):
+    rng = random.Random(31)
+    rows = []
+    for g in range(40):
+        base = [f"g{g}w{rng.randrange(10**6)}" for _ in range(300)]
+        half = " ".join(base[:150])
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join([half] * 60 + base[150:]))]
+        for _ in range(3):  # others in their buckets, not copies
+            other = list(base)
+            for i in rng.sample(range(300), 14):
+                other[i] = f"new{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(other)))
+    got = {r.doc_id: r.component_id for r in probminhash.near_duplicates(frame(spark, [(i, t, "en", "s") for i, t in rows])).collect()}
+    assert got == brute_components(rows)
+
+
+def test_counts_of_cells_leave_no_link_out():
+    rng = np.random.default_rng(9)
+    for size in (1, 20, 300, 5000):
+        u = rng.integers(0, 2**63, 2 * size).astype(np.uint64)
+        for shared in range(0, size + 1, max(1, size // 50)):
+            a, b = u[:size], u[size - shared : 2 * size - shared]
+            one, other = (np.frombuffer(probminhash.cells_of(x), "<u2").astype(np.int64) for x in (a, b))
+            may = probminhash.may_link(one, other[None], 0.8)[0]
+            assert may or shared < 0.8 * (2 * size - shared)
+            assert not may or shared or size == 1 or size > 20 * probminhash.CELLS
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (9, 8), (8, 7), (7, 9), (20, 21), (21, 22), (22, 23), (23, 24), (24, 25), (30, 30)]
     got = {r.id: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
