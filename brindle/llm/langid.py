@@ -4,7 +4,8 @@ Known words are scored by their log frequency in each language.  An unseen word
 character n-grams: at each place of the word the longest n-gram (``LONGEST`` down to one character) that the
 model knows speaks, each step down being discounted.  Counts come from a sample of the training rows of about ``SAMPLE_DOCS`` documents a
 language, drawn by a hash of the id; the tables keep the ``MOST_WORDS`` and ``MOST_GRAMS`` most frequent entries,
-which bounds what is broadcast.  Every whole text is scored.
+which bounds what is broadcast.  Every whole text is scored,
+and a word of any length is walked to its end, in training and in scoring: without spaces it can be a whole text.
 
 Defined cases: a text that is null or has no letter is `und` with score 0, as is every text when nothing could be
 learnt; a null doc_id counts as not held out; rows with a null lang teach nothing; ties go to the lesser language name.
@@ -31,6 +32,8 @@ BACKOFF = 0.4
 #: Words whose evidence counts in full in the score; more words share it, as they are not independent.
 EVIDENCE_WORDS = 20
 CACHE_WORDS = 300_000
+#: Places of a long word that are scored together.
+PIECE = 10_000
 
 def grams_of(word: str) -> Iterator[str]:
     held = f"\x02{word}\x03"
@@ -51,9 +54,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for lang, found in words.items():
         grams: Counter = Counter()
         for word, n in found.items():
-            if len(word) <= 40:
-                for g in grams_of(word):
-                    grams[g] += n
+            for g in grams_of(word):
+                grams[g] += n
         for kind, table in (("w", found), ("g", grams)):
             rows = list(table.items())
             for i in range(0, len(rows), 20_000):
@@ -85,15 +87,19 @@ class BackoffModel:
         found = self.words.get(word)
         if found is not None:
             return found
-        held, known = f"\x02{word[:200]}\x03", self.grams.get
-        size, parts = len(held), []
-        for at in range(size):
-            for end in range(min(at + LONGEST, size), at, -1):
-                g = known(held[at:end])
-                if g is not None:
-                    parts.append(g)
-                    break
-        return self.gram_scores[parts].sum(axis=0) / max(1, len(parts))
+        held, known = f"\x02{word}\x03", self.grams.get
+        size, total, n = len(held), np.zeros(len(self.langs)), 0
+        for start in range(0, size, PIECE):
+            parts = []
+            for at in range(start, min(start + PIECE, size)):
+                for end in range(min(at + LONGEST, size), at, -1):
+                    g = known(held[at:end])
+                    if g is not None:
+                        parts.append(g)
+                        break
+            total += self.gram_scores[parts].sum(axis=0)
+            n += len(parts)
+        return total / max(1, n)
 
     def _places(self, words: list[str]) -> np.ndarray:
         """Rows of the words' scores; unknown words are scored and remembered."""

@@ -30,6 +30,16 @@ def test_langid(spark, rng, odd, empty):
     assert langid.predicted(empty).count() == 0
 
 
+def test_langid_of_texts_without_spaces(spark):
+    r = random.Random(17)
+    run = lambda words, n: "".join(r.choice(words) for _ in range(n))
+    rows = [(i, run(WORDS if i % 2 else OTHER, 60), "one" if i % 2 else "two", "s") for i in range(120)]
+    rows += [(300, run(OTHER, 50) + run(WORDS, 3000), None, None), (301, run(WORDS, 50) + run(OTHER, 3000), None, None)]
+    got = {r.doc_id: r.lang_pred for r in langid.predicted(frame(spark, rows)).collect()}
+    assert all(got[i] == ("one" if i % 2 else "two") for i in range(120))
+    assert (got[300], got[301]) == ("one", "two")
+
+
 # -- lines
 
 def brute_lines(rows):
