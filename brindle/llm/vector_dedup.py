@@ -4,16 +4,16 @@ Vectors of one label are compared by cosine.  Equal vectors are collapsed first
 and residual product codes are fitted on a sample of about ``SAMPLE`` unit vectors; every vector is indexed: its home list is that of
 its nearest centroid, and it keeps the codes of its residual's subspaces and the length of what the codes miss.
 
-As a query, a vector probes every list that may hold a partner.  A partner lies within r = sqrt(2 - 2 * threshold); to be in
-another list it must lie beyond the bisector of two centroids, and a step of length r in any direction goes about
-r / sqrt(dimensions) along the bisector's normal.  A list is left out if the query is further than ``REACH`` times that from the
-bisector (never less than r itself allows), which keeps over 0.998 of the partners at the threshold and more of nearer ones; tests measure
-recall against brute force.  Inside a list, distances to the codes come from lookup tables (asymmetric: the query isn't coded); a
+As a query, a vector probes every list that may hold a partner.  A partner lies within r = sqrt(2 - 2 * threshold), and to be in
+another list it must lie beyond the bisector of the two centroids; a list is left out only if the query is further than r from
+that bisector, which loses nothing.  Of two lists the query goes from the lesser to the greater alone, and each link found there counts at both ends.
+Inside a list, distances to the codes come from lookup tables (asymmetric: the query isn't coded); a
 pair is left out only if that distance less what the member's code misses is over r, a bound that loses nothing.
 What remains is reranked by the exact cosine in double precision.
 
-Lists with more than ``BLOCK`` members are split by a hash of the id and queries go to each part, so a task holds one part and
-streams its queries.  A part gives each vector's count of links and one edge to the least vector it is connected
+Small lists of a label are put on shelves of about ``SHELF`` members, so that a query goes once to all of a shelf's lists that it probes.
+Lists with more than ``BLOCK`` members are split by a hash of the id and queries go to each part, so a task holds one shelf or part and
+streams its queries.  A list or part gives each vector's count of links and one edge to the least vector it is connected
 with there, never all pairs.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and rows with a null
@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.llm.common import prepare, shuffle_width, stored
@@ -38,9 +38,9 @@ THRESHOLD = 0.93
 SAMPLE = 16_384
 #: Vectors for each coarse centroid, and the most centroids.
 PER_LIST, MOST_LISTS = 2048, 1024
-REACH = 3.0
 SUBSPACES, CODES = 8, 64
 BLOCK = 2048
+SHELF = 1024
 QUERIES = 256
 SLACK = 1e-5
 
@@ -87,11 +87,11 @@ class Quantiser:
         return home, codes, np.sqrt(missed)
 
     def probes(self, x: np.ndarray, home: np.ndarray, radius: float) -> list[np.ndarray]:
-        """Lists that can hold a vector within the radius of each x."""
+        """Lists, from each x's home on, that can hold a vector within the radius of it."""
         square = (self.coarse * self.coarse).sum(axis=1) - 2 * x @ self.coarse.T
         over = (square - np.take_along_axis(square, home[:, None], axis=1)) / (2 * self.between[home])
         over[np.arange(len(x)), home] = 0
-        return [np.flatnonzero(row <= radius * min(1.0, REACH / x.shape[1] ** 0.5) + SLACK) for row in over]
+        return [at + np.flatnonzero(row[at:] <= radius + SLACK) for at, row in zip(home.tolist(), over, strict=True)]
 
     def distances(self, x: np.ndarray, home: int, codes: np.ndarray) -> np.ndarray:
         """Distances of each x to the coded members of a list, by lookup tables."""
@@ -141,9 +141,10 @@ class ListPart:
         self.codes = np.frombuffer(b"".join(codes), np.uint8).reshape(len(reps), -1)
         self.missed = np.array(missed)
         self.root = self.reps.copy()  # the least vector each member is connected with here
+        self.links = np.zeros(len(self.reps), np.int64)  # of each member with vectors of other lists
 
-    def ask(self, reps: np.ndarray, vectors: np.ndarray, radius: float, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-        """Each query's number of linked vectors, and a member it is connected with (-1: none)."""
+    def ask(self, reps: np.ndarray, ms: np.ndarray, homes: np.ndarray, vectors: np.ndarray, radius: float, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+        """Each query's number of linked vectors, and a member it is connected with (-1: none); members ask their own list, others' links count here as well."""
         unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
         near = self.q.distances(unit, self.home, self.codes) - self.missed <= radius + 1e-3
         links, member = np.zeros(len(reps), np.int64), np.full(len(reps), -1)
@@ -153,6 +154,8 @@ class ListPart:
                 at = at[(self.unit[at] @ unit[i] >= threshold) & (self.reps[at] != reps[i])]
             if len(at):
                 links[i] = self.ms[at].sum()
+                if homes[i] != self.home:
+                    self.links[at] += ms[i]
                 member[i] = at[0]
                 roots = np.unique(self.root[at])
                 least = min(int(roots[0]), int(reps[i]))
@@ -163,43 +166,46 @@ class ListPart:
 
 def _compare(quantisers, radius: float, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, part, waiting, asked = None, [], None, [], []
+        now: list | None = None
+        held: dict[int, list] = {}
+        parts: dict[int, ListPart] = {}
+        waiting: dict[int, list] = {}
+        asked: dict[int, list] = {}
 
-        def ask() -> Iterator[pa.RecordBatch]:
-            nonlocal waiting
-            if waiting and part is not None:
-                reps = np.array([w[0] for w in waiting], np.int64)
-                links, member = part.ask(reps, np.array([w[1] for w in waiting], float), radius, threshold)
-                asked.extend(zip(reps.tolist(), links.tolist(), member.tolist(), strict=True))
-            waiting = []
-            return iter(())
+        def ask(at: int) -> None:
+            reps, ms, homes, vectors = zip(*waiting.pop(at), strict=True)
+            links, member = parts[at].ask(np.array(reps, np.int64), np.array(ms, np.int64), np.array(homes, np.int64), np.array(vectors, float), radius, threshold)
+            asked.setdefault(at, []).extend(zip(reps, links.tolist(), member.tolist(), strict=True))
 
         def close() -> Iterator[pa.RecordBatch]:
-            nonlocal held, part, asked
-            list(ask())
-            if part is not None:
-                rows = [(r, n, int(part.root[at]) if at >= 0 else r) for r, n, at in asked if n]
-                rows += [(r, 0, t) for r, t in zip(part.reps.tolist(), part.root.tolist(), strict=True) if r != t]
+            for at in list(waiting):
+                ask(at)
+            for at, part in parts.items():
+                rows = [(r, n, int(part.root[i]) if i >= 0 else r) for r, n, i in asked.get(at, []) if n]
+                rows += [(r, n, t) for r, n, t in zip(part.reps.tolist(), part.links.tolist(), part.root.tolist(), strict=True) if n or r != t]
                 if rows:
                     yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=FOUND)
-            held, part, asked = [], None, []
+            held.clear()
+            parts.clear()
+            asked.clear()
 
         for batch in batches:
             names = batch.schema.names
-            for *key, query, rep, m, v, code, missed in zip(*(vectors_of(c) if name == "v" else c.to_pylist() for name, c in zip(names, batch.columns, strict=True)), strict=True):
+            for *key, query, rep, m, v, home, lists, code, missed in zip(*(vectors_of(c) if name == "v" else c.to_pylist() for name, c in zip(names, batch.columns, strict=True)), strict=True):
                 if key != now:
                     yield from close()
                     now = key
                 if not query:
-                    held.append((rep, m, v, code, missed))
+                    held.setdefault(home, []).append((rep, m, v, code, missed))
                     continue
-                if part is None and held:
-                    part = ListPart(quantisers.value[key[1]], key[2], *zip(*held, strict=True))
-                    held = []
-                if part is not None:
-                    waiting.append((rep, v))
-                    if len(waiting) >= QUERIES:
-                        list(ask())
+                if held:
+                    parts |= {at: ListPart(quantisers.value[key[1]], at, *zip(*rows, strict=True)) for at, rows in held.items()}
+                    held.clear()
+                for at in lists:
+                    if at in parts:
+                        waiting.setdefault(at, []).append((rep, m, home, v))
+                        if len(waiting[at]) >= QUERIES:
+                            ask(at)
         yield from close()
 
     return run
@@ -232,14 +238,23 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, sample:
     quantisers = spark.sparkContext.broadcast(fit(reps, sample))  # bounded by MOST_LISTS and CODES
     element = "float" if dict(reps.dtypes)["v"] == "array<float>" else "double"
     indexed = stored(reps.select("label", "dim", "rep", "m", F.col("v").cast(f"array<{element}>")).mapInArrow(_index(quantisers, radius), f"label long, dim long, rep long, m long, v array<{element}>, home long, lists array<long>, code binary, missed double"), "index")
-    keys = ["label", "dim", "list"]
-    parts = indexed.groupBy("label", "dim", F.col("home").alias("list")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
-    members = indexed.select("label", "dim", F.col("home").alias("list"), F.lit(False).alias("query"), "rep", "m", "v", "code", "missed")
-    queries = indexed.select("label", "dim", F.explode("lists").alias("list"), F.lit(True).alias("query"), "rep", "m", "v", F.lit(None).cast("binary").alias("code"), F.lit(None).cast("double").alias("missed"))
-    sized = members.union(queries).join(parts, keys)
-    part = F.when(F.col("query"), F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("rep", F.lit(7)), F.col("parts"))))
-    dealt = sized.withColumn("part", F.explode(part)).repartition(shuffle_width(spark), *keys, "part").sortWithinPartitions(*keys, "part", "query", "rep")
-    found = stored(dealt.select(*keys, "part", "query", "rep", "m", "v", "code", "missed").mapInArrow(_compare(quantisers, radius, threshold), "rep long, links long, root long"), "found")
+    held = indexed.groupBy("label", "dim", F.col("home").alias("list")).agg(F.count(F.lit(1)).alias("n"))
+    small = F.when(F.col("n") <= BLOCK, F.col("n")).otherwise(0)
+    before = F.sum(small).over(Window.partitionBy("label", "dim").orderBy("list")) - small  # at most MOST_LISTS rows a window
+    shelf = F.when(F.col("n") <= BLOCK, F.floor(before / SHELF)).otherwise(-1 - F.col("list"))
+    shelved = held.select("label", "dim", "list", F.struct(shelf.alias("shelf"), F.ceil(F.col("n") / BLOCK).alias("parts")).alias("at"))
+    by_list = shelved.groupBy("label", "dim").agg(F.map_from_entries(F.collect_list(F.struct("list", "at"))).alias("m"), F.max("list").alias("last"))  # at most MOST_LISTS entries
+    places = stored(by_list.select("label", "dim", F.transform(F.sequence(F.lit(0).cast("long"), "last"), lambda x: F.col("m")[x]).alias("places")), "places")  # by the list's number, null for a list without members
+    at = indexed.join(places, ["label", "dim"])
+    place = lambda x: F.get("places", x.cast("int"))
+    members = at.select("label", "dim", place(F.col("home"))["shelf"].alias("shelf"), F.pmod(F.xxhash64("rep", F.lit(7)), place(F.col("home"))["parts"]).alias("part"), F.lit(False).alias("query"), "rep", "m", "v", "home", F.array("home").alias("lists"), "code", "missed")
+    shelves = F.array_compact(F.array_distinct(F.transform("lists", lambda x: place(x)["shelf"])))
+    there = at.withColumn("shelf", F.explode(shelves)).withColumn("lists", F.filter("lists", lambda x: place(x)["shelf"] == F.col("shelf")))
+    parts = F.sequence(F.lit(0).cast("long"), place(F.get("lists", F.lit(0)))["parts"] - 1)  # a shelf of several lists has one part
+    queries = there.select("label", "dim", "shelf", F.explode(parts).alias("part"), F.lit(True).alias("query"), "rep", "m", "v", "home", "lists", F.lit(None).cast("binary").alias("code"), F.lit(None).cast("double").alias("missed"))
+    keys = ["label", "dim", "shelf", "part"]
+    dealt = members.union(queries).repartition(shuffle_width(spark), *keys).sortWithinPartitions(*keys, "query", "rep")
+    found = stored(dealt.mapInArrow(_compare(quantisers, radius, threshold), "rep long, links long, root long"), "found")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     named = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     of_rep = stored(reps.select("label", "v", "rep", "m").join(links, "rep", "left").join(named.withColumnRenamed("id", "rep"), "rep", "left").select("label", "v", (F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "of_rep")

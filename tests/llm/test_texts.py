@@ -344,6 +344,24 @@ def test_vectors_against_brute_force(spark, monkeypatch):
 
 # -- all of it
 
+def test_vectors_of_few_dimensions_among_many(spark, monkeypatch):
+    """Partners that differ in a subspace only, on many lists, several of them on a shelf or in parts."""
+    monkeypatch.setattr(vector_dedup, "PER_LIST", 30)
+    rng = np.random.default_rng(12)
+    rows = []
+    for _ in range(700):
+        x = np.zeros(64)
+        x[:4] = rng.normal(size=4)
+        y = x / np.linalg.norm(x)
+        rows.append((len(rows), [float(np.float32(c)) for c in y], len(rows) % 2))
+    want = brute_vectors(rows)
+    e = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    for block, shelf in ((2048, 1024), (8, 40)):
+        monkeypatch.setattr(vector_dedup, "BLOCK", block)
+        monkeypatch.setattr(vector_dedup, "SHELF", shelf, raising=False)
+        assert {r.vec_id: (r.n_links, r.component_id) for r in vector_dedup.near_duplicates(e).collect()} == want
+
+
 def test_pipeline_on_odd_documents(spark, odd, empty, tmp_path):
     import corpus_pipeline
 
