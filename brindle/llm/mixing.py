@@ -5,7 +5,8 @@ network routes words from patterns to the sources' quotas: a pattern offers its
 free and every further one dearer (convex costs), and an arc joins it to each source in the pattern.  The cheapest largest flow says
 how many words each pattern gives.  Whole documents are then taken: full passes over a pattern, and for what is left
 documents in the order of a seeded hash, found by a histogram of the hash so that no pattern is sorted in one place.
-The last gap, smaller than one document, is filled from a bounded number of candidates of each size class.
+A document that is larger than what is left is passed over: what is left is filled in rounds from the unused documents that fit it, in
+hash order again while it is wide, else from the largest candidates of each size class, a bounded number a round, until no unused document fits.
 
 Defined cases: a null text has size 0 and is never taken; a null source is a source of its own, last in order; rows that repeat a doc_id are taken
 alike; an empty table gives no row; documents of size 0 have taken 0.
@@ -26,7 +27,7 @@ MOST_USES = 3
 SEED = 20_24
 #: Cells of the histogram of the seeded hash, for each pattern.
 CELLS = 4096
-#: Candidates for the last gap: so many of each pattern and size class (powers of two).
+#: Candidates for the last gap in a round: so many of each pattern and size class (powers of two).  A gap of so many times the largest document that fits is wide.
 CANDIDATES = 16
 #: Patterns are planned on the driver; a mix has a configured set of sources, and more patterns than this are refused.
 MOST_PATTERNS = 100_000
@@ -109,6 +110,67 @@ def cheapest_flow(patterns: list[tuple[frozenset, int]], quotas: dict, most_uses
     return [{s: e[3][1] for s, e in arcs.items()} for arcs in sent]
 
 
+def in_hash_order(drawn: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Which rows of drawn (key, more, doc_id, draw, cell, size) are the first in hash order that fit the key's ``more``, in a column extra.
+
+    Also, for each key whose sizes are above it, the gap that is left up to the first that doesn't fit.
+    """
+    by_cell = drawn.where("more > 0").groupBy("key", "more", "cell").agg(F.sum("size").alias("words"))
+    ordered = Window.partitionBy("key").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)  # at most CELLS rows a key
+    edge = by_cell.withColumn("upto", F.sum("words").over(ordered)).where("upto > more").groupBy("key", "more").agg(F.min(F.struct("cell", "upto", "words")).alias("m"))
+    edge = stored(edge.select("key", F.col("m.cell").alias("edge"), (F.col("more") - F.col("m.upto") + F.col("m.words")).alias("room")), "edge")
+    # Inside the cell where the words run out, documents follow in hash order as long as they fit; equal draws of one doc_id go together.
+    units = drawn.join(F.broadcast(edge), "key").where("cell = edge").groupBy("key", "doc_id", "draw", "room").agg(F.sum("size").alias("size"))
+    within = Window.partitionBy("key").orderBy("draw", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    inside = stored(units.withColumn("upto", F.sum("size").over(within)), "inside")
+    fits = inside.groupBy("key", "room").agg(F.max(F.when(F.col("upto") <= F.col("room"), F.struct("draw", "doc_id", "upto"))).alias("m")).select("key", F.col("m.draw").alias("last_draw"), F.col("m.doc_id").alias("last_id"), (F.col("room") - F.coalesce("m.upto", F.lit(0))).alias("gap"))
+    fits = stored(edge.select("key", "edge").join(fits, "key"), "fits")
+    at = drawn.join(F.broadcast(fits), "key", "left")
+    chosen = F.when(F.col("more") <= 0, False).when(F.col("edge").isNull(), True).when(F.col("cell") != F.col("edge"), F.col("cell") < F.col("edge"))
+    chosen = chosen.otherwise(F.coalesce(F.struct("draw", "doc_id") <= F.struct(F.col("last_draw"), F.col("last_id")), F.lit(False)))
+    return at.withColumn("extra", chosen), fits
+
+
+def filled(free: DataFrame, gaps: dict) -> list[tuple[DataFrame, bool]]:
+    """Units (key, doc_id) of free (key, doc_id, size, draw, cell) that fill the keys' gaps until none that is left fits, and whether they are few."""
+    spark = free.sparkSession
+    kind = dict(free.dtypes)["doc_id"]
+    picks: list[tuple] = []
+    many: DataFrame | None = None
+    while gaps:
+        now = free.join(F.broadcast(spark.createDataFrame(list(gaps.items()), "key string, more long")), "key").where("size <= more")
+        # The largest of each size class in each of CANDIDATES parts of the hash: pre-aggregated, and at most so many a class.
+        best = now.groupBy("key", F.floor(F.log2("size")).alias("class"), F.pmod("draw", F.lit(CANDIDATES)).alias("part")).agg(F.max(F.struct("size", "draw", "doc_id")).alias("m"))
+        by_key: dict = {}
+        for c in best.select("key", "m.*").collect():
+            by_key.setdefault(c.key, []).append(c)
+        gaps = {key: gap for key, gap in gaps.items() if key in by_key}
+        wide = {key: gap for key, gap in gaps.items() if gap >= CANDIDATES * max(c.size for c in by_key[key])}
+        fresh = []
+        for key in gaps.keys() - wide.keys():
+            for c in sorted(by_key[key], key=lambda c: (-c.size, c.draw)):
+                if c.size <= gaps[key]:
+                    fresh.append((key, c.doc_id))
+                    gaps[key] -= c.size
+        if not gaps:
+            break
+        picks += fresh
+        used = spark.createDataFrame(fresh, f"key string, doc_id {kind}")
+        if wide:
+            at, _ = in_hash_order(now.where(F.col("key").isin(list(wide))))
+            taken = stored(at.where("extra").select("key", "doc_id", "size"), "taken")
+            for x in taken.groupBy("key").agg(F.sum("size").alias("size")).collect():
+                gaps[x.key] -= x.size
+            many = taken.select("key", "doc_id") if many is None else many.union(taken.select("key", "doc_id"))
+            used = used.union(taken.select("key", "doc_id"))
+        gaps = {key: gap for key, gap in gaps.items() if gap > 0}
+        if gaps:
+            used = used.select(F.col("key").alias("k"), F.col("doc_id").alias("d"))
+            used = used if wide else F.broadcast(used)
+            free = stored(now.drop("more").join(used, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")), "left_anti"), "free")
+    return [(spark.createDataFrame(picks, f"key string, doc_id {kind}"), True)] * bool(picks) + [(many, False)] * (many is not None)
+
+
 def mix(docs: DataFrame, members: Column, weights=cyclic_weights, most_uses: int = MOST_USES, seed: int = SEED) -> DataFrame:
     """How many words a mix takes of each row of ``docs`` (doc_id, text, ...).
 
@@ -136,38 +198,17 @@ def mix(docs: DataFrame, members: Column, weights=cyclic_weights, most_uses: int
 
     draw = F.xxhash64(F.lit(seed), F.col("doc_id"))
     drawn = sized.join(planned, "key").withColumn("draw", draw).withColumn("cell", F.pmod(F.col("draw"), F.lit(CELLS)))
-    by_cell = drawn.where("more > 0").groupBy("key", "more", "cell").agg(F.sum("size").alias("words"))
-    ordered = Window.partitionBy("key").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)  # at most CELLS rows a key
-    edge = by_cell.withColumn("upto", F.sum("words").over(ordered)).where("upto > more").groupBy("key", "more").agg(F.min(F.struct("cell", "upto", "words")).alias("m"))
-    edge = stored(edge.select("key", F.col("m.cell").alias("edge"), (F.col("more") - F.col("m.upto") + F.col("m.words")).alias("room")), "edge")
-    # Inside the cell where the words run out, documents follow in hash order as long as they fit; equal draws of one doc_id go together.
-    units = drawn.join(F.broadcast(edge), "key").where("cell = edge").groupBy("key", "doc_id", "draw", "room").agg(F.sum("size").alias("size"))
-    within = Window.partitionBy("key").orderBy("draw", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    inside = stored(units.withColumn("upto", F.sum("size").over(within)), "inside")
-    fits = inside.groupBy("key", "room").agg(F.max(F.when(F.col("upto") <= F.col("room"), F.struct("draw", "doc_id", "upto"))).alias("m")).select("key", F.col("m.draw").alias("last_draw"), F.col("m.doc_id").alias("last_id"), (F.col("room") - F.coalesce("m.upto", F.lit(0))).alias("gap"))
-    fits = stored(edge.select("key", "edge").join(fits, "key"), "fits")
-    at = drawn.join(F.broadcast(fits), "key", "left")
-    chosen = F.when(F.col("more") <= 0, False).when(F.col("edge").isNull(), True).when(F.col("cell") != F.col("edge"), F.col("cell") < F.col("edge"))
-    chosen = chosen.otherwise(F.coalesce(F.struct("draw", "doc_id") <= F.struct(F.col("last_draw"), F.col("last_id")), F.lit(False)))
-    at = at.withColumn("extra", chosen)
-
-    spare = at.where("NOT extra AND gap > 0 AND size > 0 AND size <= gap").groupBy("key", "gap", "doc_id").agg(F.sum("size").alias("size"), F.first("draw").alias("draw")).where("size <= gap")
-    # The largest of each size class in each of CANDIDATES parts of the hash: pre-aggregated, and at most so many a class.
-    best = spare.groupBy("key", "gap", F.floor(F.log2("size")).alias("class"), F.pmod("draw", F.lit(CANDIDATES)).alias("part")).agg(F.max(F.struct("size", "draw", "doc_id")).alias("m"))
-    candidates = best.select("key", "gap", "m.*").collect()
-    picks = []
-    by_key: dict = {}
-    for c in candidates:
-        by_key.setdefault(c.key, []).append(c)
-    for key, found in by_key.items():
-        gap = found[0].gap
-        for c in sorted(found, key=lambda c: (-c.size, c.draw, c.doc_id)):
-            if c.size <= gap:
-                picks.append((key, c.doc_id))
-                gap -= c.size
-    picked = spark.createDataFrame(picks, f"key string, doc_id {dict(docs.dtypes)['doc_id']}").withColumn("picked", F.lit(True))
-    out = at.join(F.broadcast(picked), ["key", "doc_id"], "left")
-    uses = F.when(F.col("size") > 0, F.col("passes") + (F.col("extra") | F.coalesce("picked", F.lit(False))).cast("long")).otherwise(F.lit(0))
+    at, fits = in_hash_order(drawn)
+    free = at.where("NOT extra AND gap > 0 AND size > 0 AND size <= gap").groupBy("key", "gap", "doc_id").agg(F.sum("size").alias("size"), F.first("draw").alias("draw"), F.first("cell").alias("cell")).where("size <= gap").drop("gap")
+    out = at.drop("gap")
+    gaps = {x.key: x.gap for x in fits.where("gap > 0").collect()}  # at most MOST_PATTERNS
+    found = filled(stored(free, "free"), gaps)
+    for n, (units, few) in enumerate(found):
+        name = f"picked{n}"
+        units = units.select(F.col("key").alias("k"), F.col("doc_id").alias("d"), F.lit(True).alias(name))
+        out = out.join(F.broadcast(units) if few else units, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")), "left").drop("k", "d")
+        out = out.withColumn("extra", F.col("extra") | F.coalesce(name, F.lit(False))).drop(name)
+    uses = F.when(F.col("size") > 0, F.col("passes") + F.col("extra").cast("long")).otherwise(F.lit(0))
     names = spark.createDataFrame([(s, int(n), float(targets[s])) for s, n in sources.items()], "source string, source_size long, target double")
     return out.select("doc_id", "pattern", "size", uses.cast("long").alias("uses")).withColumn("taken", F.col("size") * F.col("uses")), names
 

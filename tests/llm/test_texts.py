@@ -119,6 +119,21 @@ def test_mix_comes_near_its_targets(spark, seed):
     assert all(abs(total[s] - t) <= 5 for s, t in targets.items())
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_mix_passes_over_a_very_long_document(spark, seed):
+    rng = random.Random(seed)
+    sizes = {i: rng.randint(30, 70) for i in range(600)} | {1000: 12_000, 1001: 12_000}
+    rows = [(i, "w " * n, ["b" if i % 2 else "a"]) for i, n in sizes.items()] + [(None, "w " * 40, ["a"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, tags array<string>")
+    taken, names = mixing.mix(docs, F.col("tags"), weights=lambda names: {"a": 1.0, "b": 3.0}, seed=seed)
+    rows, targets = taken.collect(), {r.source: r.target for r in names.collect()}
+    for s in "ab":
+        own = [r for r in rows if r.pattern == [s]]
+        gap = targets[s] - sum(r.taken for r in own)
+        passes = min(r.uses for r in own)
+        assert -1 <= gap < 70 and all(r.size > gap for r in own if r.uses == passes and passes < 3)
+
+
 def test_mix_of_overlapping_sources(spark):
     rows = [(i, "w " * 10, ["x", "y"] if i % 2 else ["x"]) for i in range(40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, tags array<string>")
