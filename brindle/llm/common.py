@@ -1,4 +1,4 @@
-"""Helpers shared by the training-data operators: tables, scratch folders, folds and streamed batches."""
+"""Helpers shared by the training-data operators: tables, scratch folders, folds, samples and widths."""
 
 from __future__ import annotations
 
@@ -8,9 +8,8 @@ import math
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,11 +27,13 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where that is unset (tests), one of our own."""
+    """The folder named by spark.checkpoint.dir; only in local mode, where it is unset (tests), one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         local = tempfile.mkdtemp(prefix="brindle-")
         atexit.register(shutil.rmtree, local, ignore_errors=True)
         found = f"file://{local}"
@@ -49,7 +50,32 @@ def scratch(spark: SparkSession, what: str) -> str:
     if folder not in _cleaned:
         _cleaned.add(folder)
         atexit.register(_swept, spark, folder)
-    return f"{folder}/{what}-{uuid.uuid4().hex[:12]}"
+    path = f"{folder}/{what}-{uuid.uuid4().hex[:12]}"
+    for made in _watching:
+        made.append(path)
+    return path
+
+
+_watching: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def sweeping(spark: SparkSession) -> Iterator[set[str]]:
+    """Scratch paths made inside go at its end, but for those that the body adds to the set it is given.
+
+    For bodies that return only what is stored or on the driver: nothing that is read later may stand on a path that goes.
+    """
+    made: list[str] = []
+    keep: set[str] = set()
+    _watching.append(made)
+    try:
+        yield keep
+    finally:
+        _watching.remove(made)
+        for path in made:
+            if path not in keep:
+                with contextlib.suppress(Exception):  # what is left goes with the application's folder
+                    removed(spark, path)
 
 
 def _swept(spark: SparkSession, folder: str) -> None:
@@ -57,11 +83,16 @@ def _swept(spark: SparkSession, folder: str) -> None:
         removed(spark, folder)
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: lineage is cut, a lost executor costs nothing."""
+def stored(df: DataFrame, what: str, keep: set[str] | None = None) -> DataFrame:
+    """Writes df as Parquet in the shared folder and reads it back: lineage is cut, a lost executor costs nothing.
+
+    keep: the set of a surrounding sweeping(), which then leaves the table alone.
+    """
     spark = df.sparkSession
     path = scratch(spark, what)
     df.write.option("compression", "zstd").parquet(path)
+    if keep is not None:
+        keep.add(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -81,24 +112,16 @@ def held_out(doc_id: Column, n: int, remainder: int) -> Column:
     return F.coalesce(crc_mod(doc_id, n) == remainder, F.lit(False))
 
 
-def partitions_for(rows: int, per_partition: int, least: int = 1) -> int:
-    return max(least, math.ceil(rows / per_partition))
+def drawn(key: Column, share: Column | float, seed: int) -> Column:
+    """Whether a row is in a sample of that share, by all 64 bits of a seeded hash of its key; a share of 1 or more takes all."""
+    share = share if isinstance(share, Column) else F.lit(float(share))
+    return (share >= 1) | (F.xxhash64(F.lit(seed), key).cast("double") < share * F.lit(2.0**64) - F.lit(2.0**63))
 
 
-def shuffle_width(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def partitions_for(rows: int, per_partition: int, least: int = 1) -> int:
+    return max(least, math.ceil(rows / per_partition))
 
 
-def rows_of(batches: Iterable[pa.RecordBatch], key_columns: tuple[int, ...]) -> Iterator[tuple[tuple, list[tuple]]]:
-    """Groups of rows with equal keys from a stream sorted by them; a group must be known to be small."""
-    key, group = None, []
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            now = tuple(row[i] for i in key_columns)
-            if now != key and group:
-                yield key, group
-                group = []
-            key = now
-            group.append(row)
-    if group:
-        yield key, group
+def shuffle_width(spark: SparkSession, amount: float = 0, per_task: float = 1) -> int:
+    """The session's number of shuffle partitions, or as many more as it takes for each to hold at most ``per_task`` of ``amount``."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(amount / per_task))

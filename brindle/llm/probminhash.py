@@ -18,7 +18,8 @@ Texts with the same words are collapsed first.  Candidates are then verified on
    asks, which loses nothing), then on their shingles.  Large buckets are cut into
    blocks that meet in pairs of blocks, so no task holds a bucket.
 
-The result has each document's class (the least id with the same words) and its component.
+The result has each document's class (the least id with the same words) and its component: which documents belong together, not
+how many links hold them.
 
 Defined cases: a null text is a class of its own; texts without words are copies of each other; texts with fewer than five words have
 one shingle of all their words; rows that repeat a doc_id count once, as one of its texts; a null doc_id is returned kept and alone;
@@ -32,10 +33,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import prepare, shuffle_width, stored
+from brindle.llm.common import prepare, shuffle_width, stored, sweeping
 from brindle.llm.components import components
 
 WORDS = 5
@@ -46,10 +47,12 @@ SLOTS = BANDS * ROWS
 CHUNK, BLOCK = 128, 192
 #: Parts of the hashes in which a text's shingles are counted, and the count that stands for any from there on.
 CELLS, FULL = 128, 65_535
-#: Bits of the filter that keeps texts which no pair needs from being shuffled.
-FILTER_BITS = 1 << 23
+#: Bits of the filter that keeps texts which no pair needs from being shuffled: so many for each id, between these bounds (4 million words are broadcast at most).
+BITS_AN_ID, LEAST_BITS, MOST_BITS = 16, 1 << 20, 1 << 28
 #: Shingles signed together.
-SIGN_TOGETHER = 300_000
+SIGN_TOGETHER = 100_000
+#: Texts, and members of blocks, that a task of a verifying shuffle holds on average at most.
+TASK_TEXTS, TASK_MEMBERS = 20_000, 100_000
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -237,25 +240,27 @@ def _compare(threshold: float):
     return run
 
 
-def needed_texts(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """The texts (id, text) of the ids, and a few more: those that a bitmap of the ids' hashes, broadcast at a fixed size, lets through."""
-    place = F.pmod(F.xxhash64("id", F.lit(21)), F.lit(FILTER_BITS))
+def needed_texts(texts: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """The texts (id, text) of the about n ids, and a few more: those that a bitmap of the ids' hashes, broadcast, lets through."""
+    size = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_AN_ID * max(n, 1)).bit_length()))
+    place = F.pmod(F.xxhash64("id", F.lit(21)), F.lit(size))
     bits = ids.select(F.shiftright(place, 6).alias("word"), place.alias("place")).selectExpr("word", "shiftleft(1L, cast(place & 63 as int)) AS bit").groupBy("word").agg(F.bit_or("bit").alias("bits"))
     at = texts.withColumn("place", place).withColumn("word", F.shiftright("place", 6))
-    return at.join(F.broadcast(bits), "word").where("shiftright(bits, cast(place & 63 as int)) & 1 = 1").select("id", "text")  # at most FILTER_BITS / 64 rows are broadcast
+    return at.join(F.broadcast(bits), "word").where("shiftright(bits, cast(place & 63 as int)) & 1 = 1").select("id", "text")  # at most MOST_BITS / 64 rows are broadcast
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (pivot, id) whose texts (id, text) reach the threshold, as (a, b).
+    """The pairs (pivot, id), stored, whose texts (id, text) reach the threshold, as (a, b).
 
     A pivot's text goes once to each group of about ``CHUNK`` that are compared with it.
     """
+    spark, n = pairs.sparkSession, pairs.count()
     sizes = stored(pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("salts")), "pivots")  # written, so that the join below has two exchanges and a hot pivot can be split
     asked = pairs.join(sizes, "pivot").select("pivot", F.pmod(F.xxhash64("id"), F.col("salts")).alias("salt"), F.lit(True).alias("other"), "id")
     bases = sizes.select("pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("other"), F.col("pivot").alias("id"))
-    found = needed_texts(texts, pairs.select("id").union(pairs.select("pivot")))
+    found = needed_texts(texts, pairs.select("id").union(pairs.select("pivot")), 2 * n)
     needed = asked.union(bases).join(found.hint("merge"), "id").select("pivot", "salt", "other", "id", "text")
-    dealt = needed.repartition(shuffle_width(pairs.sparkSession), "pivot", "salt").sortWithinPartitions("pivot", "salt", "other", "id")
+    dealt = needed.repartition(shuffle_width(spark, n, TASK_TEXTS), "pivot", "salt").sortWithinPartitions("pivot", "salt", "other", "id")
     return dealt.mapInArrow(_verify(threshold), "a long, b long")
 
 
@@ -264,16 +269,25 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     class_id: the least doc_id with the same words; component_id: the least that links reach.
     """
-    spark: SparkSession = docs.sparkSession
-    prepare(spark)
+    prepare(docs.sparkSession)
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = stored(whole.where("text IS NOT NULL AND doc_id IS NOT NULL").mapInArrow(_sign, SIGNED_DDL), "signed")
+    with sweeping(docs.sparkSession) as keep:
+        prints, named = _named_classes(whole, threshold, keep)
+    found = prints.join(named, ["fp1", "fp2"]).select("doc_id", "class_id", "component_id")
+    alone = whole.where("text IS NULL OR doc_id IS NULL").select("doc_id").distinct().join(prints.select("doc_id"), "doc_id", "left_anti").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
+    return found.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def _named_classes(whole: DataFrame, threshold: float, keep: set[str]) -> tuple[DataFrame, DataFrame]:
+    """Each document's print (doc_id, fp1, fp2), and each print's class and component; both on paths in keep."""
+    spark = whole.sparkSession
+    signed = stored(whole.where("text IS NOT NULL AND doc_id IS NOT NULL").mapInArrow(_sign, SIGNED_DDL), "signed", keep)
     if not signed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():  # of rows that repeat a doc_id, one stays
-        signed = stored(signed.groupBy("doc_id").agg(F.min(F.struct("fp1", "fp2", "bands", "cells")).alias("r")).select("doc_id", "r.*"), "signed-once")
+        signed = stored(signed.groupBy("doc_id").agg(F.min(F.struct("fp1", "fp2", "bands", "cells")).alias("r")).select("doc_id", "r.*"), "signed-once", keep)
     prints = signed.select("doc_id", "fp1", "fp2")
-    # Texts of a class have the same words, and so the same bands and counts.
-    reps = stored(signed.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("cells").alias("cells")), "reps")
-    of_class = reps.select("fp1", "fp2", F.col("id").alias("class_id"))
+    # Texts of a class have the same words, and so the same bands and counts: the least id stands for all.
+    classes = stored(prints.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("id")), "classes", keep)
+    reps = stored(signed.select(F.col("doc_id").alias("id"), "bands").join(classes.select("id"), "id", "left_semi"), "reps")
 
     texts = whole.withColumnRenamed("doc_id", "id").where("text IS NOT NULL AND id IS NOT NULL")
     spread = reps.select("id", F.explode("bands").alias("key"))
@@ -287,17 +301,16 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     first = components(links)
 
     placed = stored(buckets.join(first, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component")), "placed")
-    several = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("n").alias("size")).where("low <> high").select("key", F.ceil(F.col("size") / BLOCK).alias("blocks"))
-    split = placed.select("key", "id", "component").join(several, "key").join(reps.select("id", "cells", "bands"), "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    several = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("n").alias("size")).where("low <> high").select("key", "size", F.ceil(F.col("size") / BLOCK).alias("blocks"))
+    several = stored(several, "several")
+    members = several.agg(F.sum(F.col("size") * F.col("blocks")).alias("n")).first().n or 0
+    split = placed.select("key", "id", "component").join(several.drop("size"), "key").join(signed.select(F.col("doc_id").alias("id"), "cells", "bands"), "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
     meets = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("block")).alias("i"), F.greatest(x, F.col("block")).alias("j")))
     blocks = split.withColumn("m", F.explode(meets)).select("key", "m.i", "m.j", "block", "id", "component", "cells", "bands")
-    dealt = blocks.repartition(shuffle_width(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
+    dealt = blocks.repartition(shuffle_width(spark, members, TASK_MEMBERS), "key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
     rest = dealt.mapInArrow(_compare(threshold), "pivot long, id long")
     rest = stored(rest.join(pairs, (rest.pivot == pairs.pivot) & (rest.id == pairs.id), "left_anti").join(pairs, (rest.pivot == pairs.id) & (rest.id == pairs.pivot), "left_anti"), "rest")
     more = stored(verified(rest, texts, threshold), "more")
-    second = links.union(more)
-    named = stored(components(second), "components")
-    of_class = of_class.join(named, F.col("class_id") == F.col("id"), "left").select("fp1", "fp2", "class_id", F.coalesce("component", "class_id").alias("component_id"))
-    found = prints.join(of_class, ["fp1", "fp2"]).select("doc_id", "class_id", "component_id")
-    alone = whole.where("text IS NULL OR doc_id IS NULL").select("doc_id").distinct().join(prints.select("doc_id"), "doc_id", "left_anti").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
-    return found.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    named = stored(components(links.union(more)), "components", keep)
+    named = classes.join(named, "id", "left").select("fp1", "fp2", F.col("id").alias("class_id"), F.coalesce("component", "id").alias("component_id"))
+    return prints, named
