@@ -1,11 +1,12 @@
 """Line deduplication over levelled sorted runs of line hashes, by DataFrame functions alone.
 
-A store holds runs: tables bucketed and sorted by a 128-bit line hash, each row a hash with the number of
-documents that hold the line and the largest of their ids.  A new batch is grouped to such rows, merge-anti-joined with every
-run (which needs no shuffle of the run, as runs lie in the batch's buckets) to tell the lines it is first to bring,
-and written as a run of level 0.  ``FANOUT`` runs of a level are merged into one of the next.
+A store holds runs: tables bucketed and sorted by a 128-bit line hash.  A new batch is grouped to rows of a hash, the number of
+documents that hold the line and the largest of their ids, and merge-anti-joined with every
+run (which needs no shuffle of the run, as runs lie in the batch's buckets): the lines that it is first to bring
+become a run of level 0, so no two runs share a line; those that some run has already are put by as further sightings of it.
+``FANOUT`` runs of a level are compacted into one of the next.
 
-``drop_repeated_lines`` feeds a table to a store in batches, reads the merged runs for lines found in enough
+``drop_repeated_lines`` feeds a table to a store in batches, adds the sightings to the runs' counts, takes the lines found in enough
 documents, and drops those lines from every document but the largest id that holds them.
 
 Defined cases: a null or empty text is one empty line, which is never long enough to be dropped; a null doc_id keeps
@@ -20,7 +21,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import scratch, shuffle_width, stored
+from brindle.llm.common import removed, scratch, shuffle_width, stored, sweeping
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -41,9 +42,12 @@ def line_key(line: Column) -> Column:
 
 
 def long_line_hash(line: Column, min_chars: int) -> Column:
-    """A 128-bit hash of the key, null for lines whose key is too short."""
+    """A 128-bit hash of the key, null for lines whose key is too short.
+
+    xxhash64 seeds each argument's hash with the one before: the constant stands first, so that b isn't made from a.
+    """
     key = line_key(line)
-    return F.when(F.length(F.trim(line, F.lit(BLANKS))) >= min_chars, F.struct(F.xxhash64(key).alias("a"), F.xxhash64(key, F.lit(1)).alias("b")))
+    return F.when(F.length(F.trim(line, F.lit(BLANKS))) >= min_chars, F.struct(F.xxhash64(key).alias("a"), F.xxhash64(F.lit(1), key).alias("b")))
 
 
 class LineRuns:
@@ -52,6 +56,8 @@ class LineRuns:
     def __init__(self, spark: SparkSession, buckets: int | None = None, fanout: int = FANOUT) -> None:
         self.spark, self.fanout, self.buckets = spark, fanout, buckets or shuffle_width(spark)
         self.levels: list[list[str]] = []
+        self.seen: list[DataFrame] = []
+        self.dropped: list[str] = []
         self.folder, self.tag = scratch(spark, "runs"), uuid.uuid4().hex[:10]
         self.written = 0
 
@@ -72,13 +78,17 @@ class LineRuns:
         return batch
 
     def add(self, batch: DataFrame) -> DataFrame:
-        """Adds a batch of (a, b, doc_id), distinct by all three; returns its rows that no earlier batch had, with counts."""
-        grouped = stored(batch.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("last")), "batch")
-        fresh = stored(self.first_seen(grouped), "fresh")
-        name = self._write(grouped)
+        """Adds a batch of (a, b, doc_id), rows may repeat; returns the run of its lines that no earlier batch had."""
+        grouped = batch.groupBy("a", "b").agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("last"))
+        first = not self.runs()
+        grouped = grouped if first else stored(grouped, "batch")
+        name = self._write(self.first_seen(grouped))
+        if not first:
+            self.seen.append(stored(grouped.join(self.spark.table(name).hint("merge"), ["a", "b"], "left_anti"), "seen"))
         if not self.levels:
             self.levels.append([])
         self.levels[0].append(name)
+        fresh = self.spark.table(name)
         self._compact()
         return fresh
 
@@ -87,60 +97,69 @@ class LineRuns:
         while level < len(self.levels):
             names = self.levels[level]
             if len(names) >= self.fanout:
-                merged = self._write(self._merged([self.spark.table(n) for n in names]))
+                merged = self._write(self._together([self.spark.table(n) for n in names]))
                 if level + 1 == len(self.levels):
                     self.levels.append([])
                 self.levels[level + 1].append(merged)
                 self.levels[level] = []
-                for n in names:
-                    self.spark.sql(f"DROP TABLE {n}")
+                self.dropped += names
             level += 1
 
     @staticmethod
-    def _merged(runs: list[DataFrame]) -> DataFrame:
-        """Merges runs bucket by bucket: full merge joins of sorted buckets, without a shuffle."""
-        out = runs[0]
-        for run in runs[1:]:
-            more = run.select("a", "b", F.col("n").alias("n2"), F.col("last").alias("last2"))
-            both = out.join(more.hint("merge"), ["a", "b"], "full")
-            out = both.select("a", "b", (F.coalesce("n", F.lit(0)) + F.coalesce("n2", F.lit(0))).alias("n"), F.greatest("last", "last2").alias("last"))
+    def _together(tables: list[DataFrame]) -> DataFrame:
+        out = tables[0]
+        for more in tables[1:]:
+            out = out.unionByName(more)
         return out
 
     def lines(self) -> DataFrame:
-        """(a, b, n, last) of every line ever added."""
+        """(a, b, n, last) of every line ever added: the runs' rows, which no two runs share, with the sightings of later batches."""
         found = self.runs()
-        return self._merged(found) if found else self.spark.createDataFrame([], "a long, b long, n long, last long")
+        if not found:
+            return self.spark.createDataFrame([], "a long, b long, n long, last long")
+        own = self._together(found)
+        if not self.seen:
+            return own
+        more = self._together(self.seen).groupBy("a", "b").agg(F.sum("n").alias("n2"), F.max("last").alias("last2"))
+        return own.join(more, ["a", "b"], "left").select("a", "b", (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n"), F.greatest("last", "last2").alias("last"))
 
     def close(self) -> None:
         """Forgets the tables' names; their files go with the shared folder."""
-        for level in self.levels:
-            for name in level:
-                self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        for name in [*self.dropped, *(n for level in self.levels for n in level)]:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> DataFrame:
     """Adds ``kept_text``, ``n_lines`` and ``n_dropped`` to ``docs`` (doc_id, text, ...)."""
     spark = docs.sparkSession
-    hashes = F.array_distinct(F.filter(F.transform(lines_of(F.col("text")), lambda x: long_line_hash(x, min_chars)), lambda h: h.isNotNull()))
-    held = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.inline(hashes))
-    held = stored(held.distinct(), "lines")
-    store = LineRuns(spark)
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(batches))
-    for i in range(batches):
-        store.add(held.where(part == i))
-    common = stored(store.lines().where(F.col("n") >= min_docs).select("a", "b", "last"), "common")
-    store.close()
-    gone = held.join(common, ["a", "b"]).where(F.col("doc_id") < F.col("last")).groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("gone"))
-    taken = {"gone", "kept_text", "n_lines", "n_dropped"}
+    text = F.col("text")
+    with sweeping(spark) as keep:
+        hashes = F.filter(F.transform(lines_of(text), lambda x, i: F.struct(i.alias("pos"), long_line_hash(x, min_chars).alias("h"))), lambda x: x["h"].isNotNull())
+        held = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("text").alias("_of"), F.inline(hashes)).select("doc_id", "_of", "pos", "h.a", "h.b")
+        held = stored(held, "lines")
+        store = LineRuns(spark)
+        keep.add(store.folder)  # its tables are dropped by name
+        part = F.pmod(F.xxhash64("doc_id"), F.lit(batches))
+        for i in range(batches):
+            store.add(held.where(part == i).select("a", "b", "doc_id"))
+        common = stored(store.lines().where(F.col("n") >= min_docs).select("a", "b", "last"), "common")
+        store.close()
+        # Places of a row's dropped lines; rows of one doc_id are told apart by a hash of the text.
+        gone = held.join(common, ["a", "b"]).where(F.col("doc_id") < F.col("last")).groupBy("doc_id", "_of").agg(F.array_sort(F.collect_set("pos")).alias("_gone"))
+        gone = stored(gone, "gone", keep)
+    removed(spark, store.folder)
+    taken = {"_gone", "_of", "_kept", "kept_text", "n_lines", "n_dropped"}
     base = docs.select([docs[f"`{c}`"] for c in docs.columns if c not in taken])
-    joined = base.join(gone, "doc_id", "left")
-    lines = lines_of(F.col("text"))
-    kept = F.when(F.col("gone").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("gone"), long_line_hash(x, min_chars)), F.lit(False))))
-    return joined.withColumn("lines_kept", kept).select(
-        *base.columns,
-        F.array_join("lines_kept", "\n").alias("kept_text"),
+    joined = base.withColumn("_of", F.xxhash64("text")).join(gone, ["doc_id", "_of"], "left")
+    lines = lines_of(text)
+    # What lies between dropped lines, laid together: in all as long as the text, however many are dropped.
+    ends = F.arrays_zip(F.concat(F.array(F.lit(-1)), F.col("_gone")).alias("low"), F.concat(F.col("_gone"), F.array(F.size(lines))).alias("high"))
+    kept = F.when(F.col("_gone").isNull(), lines).otherwise(F.flatten(F.transform(ends, lambda x: F.slice(lines, x["low"] + 2, x["high"] - x["low"] - 1))))
+    return joined.withColumn("_kept", kept).select(
+        *[F.col(f"`{c}`") for c in base.columns],
+        F.array_join("_kept", "\n").alias("kept_text"),
         F.size(lines).cast("long").alias("n_lines"),
-        (F.size(lines) - F.size("lines_kept")).cast("long").alias("n_dropped"),
+        (F.size(lines) - F.size("_kept")).cast("long").alias("n_dropped"),
     )
 
 

@@ -77,14 +77,39 @@ def test_lines_against_brute_force(spark, odd, empty):
 
 def test_runs_tell_first_seen(spark):
     store = linededup.LineRuns(spark, buckets=2)
-    batches = [[(1, 1, 10), (2, 2, 10)], [(2, 2, 20), (3, 3, 20)], [(1, 1, 30), (3, 3, 5), (4, 4, 30)]]
+    batches = [[(1, 1, 10), (2, 2, 10), (2, 2, 10)], [(2, 2, 20), (3, 3, 20)], [(1, 1, 30), (3, 3, 5), (4, 4, 30)]]
     fresh = [sorted(r.a for r in store.add(spark.createDataFrame(b, "a long, b long, doc_id long")).collect()) for b in batches]
     assert fresh == [[1, 2], [3], [4]]
     assert [len(level) for level in store.levels] == [1, 1]  # two runs were merged into one of the next level
+    assert sorted(r.a for run in store.runs() for r in run.collect()) == [1, 2, 3, 4]  # no two runs share a line
     assert sorted(tuple(r) for r in store.lines().collect()) == [(1, 1, 2, 30), (2, 2, 2, 20), (3, 3, 2, 20), (4, 4, 1, 30)]
     store.close()
 
 
+def test_the_anti_join_decides(spark, monkeypatch):
+    """Without it runs share lines, and counts are wrong."""
+    monkeypatch.setattr(linededup.LineRuns, "first_seen", lambda self, batch: batch)
+    line = "a line of more than forty characters, found in six documents"
+    docs = frame(spark, [(i, line, "en", None) for i in range(6)])
+    assert sum(r.n_dropped for r in linededup.digest(docs).collect()) != 5
+    monkeypatch.undo()
+    assert sum(r.n_dropped for r in linededup.digest(docs).collect()) == 5
+
+
+def test_line_hashes_have_two_independent_halves(spark):
+    key = "a line of more than forty characters, by whose hash it is known"
+    got = spark.range(1).select(linededup.long_line_hash(F.lit(key), 40).alias("h"), F.xxhash64(F.xxhash64(F.lit(key)), F.lit(1)).alias("of_a"), F.xxhash64(F.lit(key), F.lit(1)).alias("chained")).first()
+    assert got.h.a != got.h.b and got.h.b not in (got.of_a, got.chained)
+
+
+def test_many_lines_dropped_from_one_document(spark):
+    rng = random.Random(23)
+    lines = [f"{i} " + prose(rng, 12) for i in range(3000)]
+    rows = [(d, "\n".join(x for i, x in enumerate(lines) if (i + d) % 7)) for d in range(8)] + [(3, "\n".join(lines[:50])), (9, lines[0])]
+    docs = frame(spark, [(i, t, "en", None) for i, t in rows])
+    assert sorted((tuple(r) for r in linededup.digest(docs).collect()), key=str) == brute_lines(rows)
+
+
 # -- mixing
 
 def test_targets_stop_at_three_times():
