@@ -3,7 +3,8 @@
 Documents are encoded once and written to the shared folder.  Document frequencies of all token ids are counted over
 all documents (one number for each id of the vocabulary, so the driver's share is bounded by the vocabulary).
 Documents are then ranged by a signature of their token trigrams, which brings copies and close texts
-together, and packed shard by shard: a shard is a stretch of about ``SHARD_TOKENS`` tokens of a partition.  In a
+together, and packed shard by shard: a shard is a stretch of about ``SHARD_TOKENS`` tokens of a partition.  Neighbours are sought in
+the seed's own shard alone, never in others: what is near lies there, what is merely alike mostly elsewhere.  In a
 shard, each seed document asks the shard's BM25 inverted index for unused neighbours, which follow it
 in order of score and greedily fill its window; the document that a window's end cuts goes on in the next
 window and is its seed.  So only a shard's last window is short, and it is split into sequences whose
@@ -28,8 +29,10 @@ from brindle.llm.tokens import crc32_of, default_path, encoder
 WINDOW = 4096
 SHARD_TOKENS = 2_000_000
 SHARD_DOCS = 8192
-#: Terms of a seed document that ask the index: those of the highest BM25 weight, over the whole document.
+#: Terms of a seed document that ask the index, those of the highest BM25 weight over the whole document: the default of ``pack``; None asks with all.
 QUERY_TERMS = 32
+#: Tokens that a packing task reads on average at most: a few shards.
+TASK_TOKENS = 4 * SHARD_TOKENS
 K1, B = 1.2, 0.75
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
@@ -39,14 +42,16 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def signature(ids: np.ndarray) -> int:
-    """The least hash of a document's token trigrams; close texts mostly share it."""
+    """A hash of the least hash of a document's token trigrams: close texts mostly share it, and long texts, whose least is lower, are spread evenly."""
     x = ids.astype(np.uint64)
     with np.errstate(over="ignore"):
         h = x[:1] if len(x) < 3 else (x[:-2] * np.uint64(0x100000001B3) + x[1:-1]) * np.uint64(0x100000001B3) + x[2:]
         h = (h + _MIX) * np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(29)
         h *= np.uint64(0x94D049BB133111EB)
-    return int((h >> np.uint64(1)).min())
+        least = (h.min(keepdims=True) + _MIX) * np.uint64(0x94D049BB133111EB)
+        least = (least ^ (least >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return int(least[0] >> np.uint64(1))
 
 
 def _kind(vocabulary: int) -> str:
@@ -86,7 +91,7 @@ def _frequencies(vocabulary: int):
 class Bm25Shard:
     """An inverted index over one shard's documents."""
 
-    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, average: float) -> None:
+    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, average: float, query_terms: int | None = QUERY_TERMS) -> None:
         terms, owners, weights = [], [], []
         self.asks: list[np.ndarray] = []
         for i, ids in enumerate(docs):
@@ -95,7 +100,7 @@ class Bm25Shard:
             terms.append(t)
             owners.append(np.full(len(t), i, np.int32))
             weights.append(w.astype(np.float32))
-            self.asks.append(t[np.argpartition(-w, QUERY_TERMS)[:QUERY_TERMS]] if len(t) > QUERY_TERMS else t)
+            self.asks.append(t[np.argpartition(-w, query_terms)[:query_terms]] if query_terms is not None and len(t) > query_terms else t)
         term, owner, weight = (np.concatenate(x) for x in (terms, owners, weights))
         order = np.argsort(term, kind="stable")
         self.owner, self.weight = owner[order], weight[order]
@@ -120,9 +125,9 @@ class Bm25Shard:
         yield from found[np.lexsort((found, -scores[found]))].tolist()
 
 
-def order_by_retrieval(docs: list[np.ndarray], idf: np.ndarray, average: float) -> list[int]:
+def order_by_retrieval(docs: list[np.ndarray], idf: np.ndarray, average: float, query_terms: int | None = QUERY_TERMS) -> list[int]:
     """The order in which a shard's documents fill consecutive windows."""
-    index, out, filled, next_seed = Bm25Shard(docs, idf, average), [], 0, 0
+    index, out, filled, next_seed = Bm25Shard(docs, idf, average, query_terms), [], 0, 0
     seed = -1
     while len(out) < len(docs):
         if seed < 0:
@@ -161,7 +166,7 @@ def cut_into_sequences(order: list[int], keys: list, docs: list[np.ndarray], fir
     return out, len(sizes)
 
 
-def _pack(idf: np.ndarray, average: float):
+def _pack(idf: np.ndarray, average: float, query_terms: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -172,7 +177,7 @@ def _pack(idf: np.ndarray, average: float):
 
         def flush() -> pa.RecordBatch:
             nonlocal sequence, keys, docs, held
-            pieces, n = cut_into_sequences(order_by_retrieval(docs, idf, average), keys, docs, sequence)
+            pieces, n = cut_into_sequences(order_by_retrieval(docs, idf, average, query_terms), keys, docs, sequence)
             sequence, keys, docs, held = sequence + n, [], [], 0
             return pa.record_batch([pa.array(c, pa.int64()) for c in zip(*pieces, strict=True)], schema=PIECES)
 
@@ -189,18 +194,24 @@ def _pack(idf: np.ndarray, average: float):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """Packs (doc_id, text) into sequences of at most ``WINDOW`` tokens; one row for each piece."""
+def pack(docs: DataFrame, tokenizer: str | None = None, query_terms: int | None = QUERY_TERMS) -> DataFrame:
+    """Packs (doc_id, text) into sequences of at most ``WINDOW`` tokens; one row for each piece.
+
+    query_terms: how many of a seed's terms ask the index, the heaviest first; None: all.
+    """
     spark = docs.sparkSession
     prepare(spark)
     path = tokenizer or default_path()
     encoded = stored(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_encode(path), "doc_id long, ids binary, n long, sig long"), "encoded")
     vocabulary = len(encoder(path).ends)
     counts = encoded.select("ids").mapInArrow(_frequencies(vocabulary), "token long, df long").groupBy("token").agg(F.sum("df").alias("df")).collect()  # at most the vocabulary
-    sums = encoded.agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("average")).first()
+    sums = encoded.agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("tokens")).first()
     df = np.zeros(vocabulary)
     for r in counts:
         df[r.token] = r.df
     idf = np.log1p((sums.docs - df + 0.5) / (df + 0.5)).astype(np.float32)
-    dealt = encoded.withColumn("tie", F.xxhash64("doc_id")).repartitionByRange(shuffle_width(spark), "sig", "tie").sortWithinPartitions("sig", "tie", "doc_id", "ids")
-    return dealt.select("doc_id", "ids").mapInArrow(_pack(idf, float(sums.average or 1.0)), PIECES_DDL)
+    tokens = sums.tokens or 0
+    # Repeated rows are dealt by a number as well: they may be many, and which of them comes first is all the same.
+    dealt = encoded.withColumn("tie", F.xxhash64("doc_id")).withColumn("row", F.monotonically_increasing_id())
+    dealt = dealt.repartitionByRange(shuffle_width(spark, tokens, TASK_TOKENS), "sig", "tie", "row").sortWithinPartitions("sig", "tie", "doc_id", "ids")
+    return dealt.select("doc_id", "ids").mapInArrow(_pack(idf, tokens / max(1, sums.docs) or 1.0, query_terms), PIECES_DDL)
