@@ -9,12 +9,12 @@ zstandard, and a chunk index at the end of the file gives each block's place and
     index  = zstandard frame of JSON {"blocks": [[offset, n_ids, [plane sizes]]], "mode", "docs", "doc_bytes"}
              followed, inside the same frame, by the documents' ids and lengths (int64 each)
 
-Documents go to shards by ranges of doc_id, sorted inside; a shard is written under a name of its own
+Documents go to shards by ranges of doc_id (rows that repeat one may be dealt to several), sorted inside, about ``SHARD_BYTES`` of text to each; a shard is written under a name of its own
 for each task attempt, and the manifest names the file of the attempt that succeeded, so lost executors
 leave nothing but an unread file.  Reading opens only files that the manifest names.
 
-Defined cases: a null or empty text has the end id alone; a null doc_id sorts first; repeated rows are
-written as often as they come, ties by text; an empty table gives no shard and no row.
+Defined cases: a null or empty text has the end id alone; a null doc_id sorts first; rows that repeat a doc_id are
+written as often as they come, in the order of their texts' hash; an empty table gives no shard and no row.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ from brindle.llm.tokens import crc32_of, default_path, encoder
 MAGIC = b"BRPLANE1"
 BLOCK_IDS = 1 << 16
 NO_DOC = -(1 << 63)
+#: Text bytes of a shard at most, on average, and ids read by a task.
+SHARD_BYTES, TASK_IDS = 64 << 20, 32 << 20
 
 
 def to_planes(ids: np.ndarray, mode: str) -> list[bytes]:
@@ -180,7 +182,10 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
     """
     spark = docs.sparkSession
     prepare(spark)
-    dealt = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange(shuffle_width(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    held = rows.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+    tied = rows.withColumn("tie", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())  # so that one doc_id can be split; equal rows may come in any order
+    dealt = tied.repartitionByRange(shuffle_width(spark, held, SHARD_BYTES), "doc_id", "tie", "row").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
     rows = dealt.mapInArrow(_write(tokenizer or default_path(), folder, mode), "shard long, path string, n_ids long").collect()  # a few bytes for each shard
     manifest, base = [], 0
     for shard, path, n in sorted(map(tuple, rows)):
@@ -211,7 +216,9 @@ def _rows(out: list[tuple]) -> pa.RecordBatch:
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32, path) of every document, from the files."""
-    return manifest.select("path", "base").repartition(shuffle_width(manifest.sparkSession)).mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long, path string")
+    spark = manifest.sparkSession
+    n = manifest.agg(F.sum("n_ids").alias("n")).first().n or 0
+    return manifest.select("path", "base").repartition(shuffle_width(spark, n, TASK_IDS)).mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long, path string")
 
 
 def qualified(spark: SparkSession, path: str) -> str:

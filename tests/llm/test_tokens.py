@@ -113,3 +113,40 @@ def test_neighbours_are_the_lexical_ones():
     index.unused[0] = False
     assert list(index.neighbours(0)) == [2]
     assert packing.order_by_retrieval(docs, idf, 50.0) == [0, 2, 1, 3, 4]
+
+
+@pytest.mark.parametrize("query_terms", [None, 4])
+def test_neighbours_against_brute_force_bm25(query_terms):
+    rng = np.random.default_rng(17)
+    docs = [rng.zipf(1.4, rng.integers(5, 200)).clip(0, 299).astype("<u4") for _ in range(150)]
+    df = np.array([sum(t in d for d in map(set, docs)) for t in range(300)])
+    idf = np.log1p((len(docs) - df + 0.5) / (df + 0.5)).astype(np.float32)
+    average = float(np.mean([len(d) for d in docs]))
+
+    def weight(t, d):
+        tf = int((d == t).sum())
+        return float(idf[t]) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(d) / average))
+
+    for seed in (0, 7, 99):
+        index = packing.Bm25Shard(docs, idf, average, query_terms)
+        index.unused[[seed, 3, 5]] = False
+        terms = sorted(set(docs[seed].tolist()), key=lambda t: -weight(t, docs[seed]))[:query_terms]
+        want = {i: sum(weight(t, d) for t in terms) for i, d in enumerate(docs) if i not in (seed, 3, 5)}
+        got = list(index.neighbours(seed))
+        assert set(got) == {i for i, x in want.items() if x > 0}
+        assert all(want[a] >= want[b] - 1e-4 for a, b in zip(got[:-1], got[1:]))
+
+
+def test_long_texts_do_not_crowd_one_range():
+    rng = np.random.default_rng(4)
+    sigs = [packing.signature(rng.integers(0, 49408, n)) for n in [30] * 400 + [20_000] * 400]
+    short, long = np.median(sigs[:400]), np.median(sigs[400:])
+    assert 0.5 < long / short < 2
+
+
+def test_one_doc_id_is_dealt_to_several_files(spark, plain, monkeypatch):
+    monkeypatch.setattr("brindle.llm.token_planes.SHARD_BYTES", 200)
+    docs = spark.createDataFrame([(1, "the same text again and again")] * 200 + [(0, "first"), (2, "last")], "doc_id long, text string").repartition(5)
+    got = sorted(round_trip(docs).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [0] + [1] * 200 + [2] and len({r.path for r in got if r.doc_id == 1}) > 3
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(got[:-1], got[1:]))
