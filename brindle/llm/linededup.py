@@ -148,18 +148,23 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: i
         gone = held.join(common, ["a", "b"]).where(F.col("doc_id") < F.col("last")).groupBy("doc_id", "_of").agg(F.array_sort(F.collect_set("pos")).alias("_gone"))
         gone = stored(gone, "gone", keep)
     removed(spark, store.folder)
-    taken = {"_gone", "_of", "_kept", "kept_text", "n_lines", "n_dropped"}
+    taken = {"_gone", "_of", "_lines", "_cut", "kept_text", "n_lines", "n_dropped"}
     base = docs.select([docs[f"`{c}`"] for c in docs.columns if c not in taken])
-    joined = base.withColumn("_of", F.xxhash64("text")).join(gone, ["doc_id", "_of"], "left")
-    lines = lines_of(text)
-    # What lies between dropped lines, laid together: in all as long as the text, however many are dropped.
-    ends = F.arrays_zip(F.concat(F.array(F.lit(-1)), F.col("_gone")).alias("low"), F.concat(F.col("_gone"), F.array(F.size(lines))).alias("high"))
-    kept = F.when(F.col("_gone").isNull(), lines).otherwise(F.flatten(F.transform(ends, lambda x: F.slice(lines, x["low"] + 2, x["high"] - x["low"] - 1))))
-    return joined.withColumn("_kept", kept).select(
+    joined = base.withColumn("_of", F.xxhash64("text")).join(gone.hint("merge"), ["doc_id", "_of"], "left")  # one plan at every size
+    at = joined.withColumn("_lines", F.array(lines_of(text)))
+
+    def without(lines: Column) -> Column:
+        """What lies between dropped lines, laid together: in all as long as the text, however many are dropped."""
+        ends = F.arrays_zip(F.concat(F.array(F.lit(-1)), F.col("_gone")).alias("low"), F.concat(F.col("_gone"), F.array(F.size(lines))).alias("high"))
+        return F.flatten(F.transform(ends, lambda x: F.slice(lines, x["low"] + 2, x["high"] - x["low"] - 1)))
+
+    # A transform over an array of one binds the text's lines, so that a text is split once.
+    cut = F.transform("_lines", lambda lines: F.struct(F.size(lines).alias("n"), F.when(F.col("_gone").isNull(), lines).otherwise(without(lines)).alias("kept")))
+    return at.withColumn("_cut", F.get(cut, F.lit(0))).select(
         *[F.col(f"`{c}`") for c in base.columns],
-        F.array_join("_kept", "\n").alias("kept_text"),
-        F.size(lines).cast("long").alias("n_lines"),
-        (F.size(lines) - F.size("_kept")).cast("long").alias("n_dropped"),
+        F.array_join("_cut.kept", "\n").alias("kept_text"),
+        F.col("_cut.n").cast("long").alias("n_lines"),
+        (F.col("_cut.n") - F.size("_cut.kept")).cast("long").alias("n_dropped"),
     )
 
 
