@@ -7,13 +7,16 @@ one bitmap for each binary digit of the score.  The top rows are taken from the
 score slice downward; once the rows at the boundary are few, or no slice is left, they are resolved
 exactly, by the integer inner product and the smaller id.
 
-Rows are dealt to groups by a hash of the id, about ``GROUP_ROWS`` in each; every query goes to every group
-in a stream, so a task holds one group's slices and one query at a time.  The groups' best k meet
-in a window that Spark limits before its shuffle.
+Rows are dealt to groups by a hash of the id, about ``GROUP_ROWS`` in each, and every group has a partition of its own.  Queries are
+laid together in blocks of about ``QUERY_BLOCK`` vectors, as narrow integers, and every block goes to every group
+in a stream, so a task holds one group's slices and one block at a time.  The groups' best k meet
+in a window that Spark limits before its shuffle.  Work is queries times rows, as it must be where every query asks all rows exactly; what is shuffled is
+the query blocks times the groups, a ``GROUP_ROWS``-th of that.
 
 Defined cases: vectors that are null, empty or hold null or non-finite components take no part, nor
-do rows with a null id; vectors of other lengths than the query's are not compared; of rows with the
-same id the smallest vector counts; fewer than k candidates give fewer rows; an empty table gives none.
+do rows with a null id, nor vectors whose length times the square of their largest component is 2**62 or more (below it, no product of two
+vectors can leave 64 bits); vectors of other lengths than the query's are not compared; of rows with the
+same id the smallest vector counts; fewer than k candidates give fewer rows; an empty table gives none; further columns are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +30,9 @@ from pyspark.sql import functions as F
 
 from brindle.llm.common import partitions_for, prepare, stored
 
-GROUP_ROWS = 8192
+GROUP_ROWS = 16_384
+#: Queries that are shuffled as one row.
+QUERY_BLOCK = 256
 #: Boundary rows that are scored one by one instead of going through the remaining slices.
 RESOLVE = 64
 
@@ -128,28 +133,70 @@ class SlicedGroup:
         return np.flatnonzero(np.unpackbits(bitmap.view(np.uint8), bitorder="little", count=self.n))
 
 
+BLOCKS = pa.schema([("dim", pa.int32()), ("ids", pa.binary()), ("kind", pa.string()), ("rows", pa.binary())])
+
+
+def integers(column: pa.ListArray, dim: int) -> np.ndarray:
+    """Vectors of one length as a matrix."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, dim)
+
+
+def narrowed(rows: np.ndarray) -> np.ndarray:
+    for kind in ("<i2", "<i4"):
+        if not len(rows) or (np.iinfo(kind).min <= rows.min() and rows.max() <= np.iinfo(kind).max):
+            return rows.astype(kind)
+    return rows.astype("<i8")
+
+
+def _blocks(size: int):
+    """Rows (dim, vec_id, v) to blocks of vectors of one length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+
+        def block(dim: int) -> pa.RecordBatch:
+            ids, rows = (np.concatenate(x) for x in zip(*held.pop(dim), strict=True))
+            narrow = narrowed(rows)
+            return pa.record_batch([pa.array([dim], pa.int32()), pa.array([ids.astype("<i8").tobytes()]), pa.array([narrow.dtype.str]), pa.array([narrow.tobytes()])], schema=BLOCKS)
+
+        for batch in batches:
+            dims = batch.column(0).to_numpy()
+            for dim in np.unique(dims).tolist():
+                part = batch.filter(pa.array(dims == dim))
+                held.setdefault(dim, []).append((part.column(1).to_numpy(), integers(part.column(2), dim)))
+                if sum(len(ids) for ids, _ in held[dim]) >= size:
+                    yield block(dim)
+        for dim in list(held):
+            yield block(dim)
+
+    return run
+
+
 def _search(k: int):
+    """Rows of (g, dim): first its members' blocks, then the queries'."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, rows, group = None, [], [], None
+        now, members, group = None, [], None
         for batch in batches:
-            found: list[tuple] = []
-            for key, dim, query, vec_id, vector in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (key, dim) != now:
-                    now, ids, rows, group = (key, dim), [], [], None
+            for g, dim, query, raw_ids, kind, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (g, dim) != now:
+                    now, members, group = (g, dim), [], None
+                ids, rows = np.frombuffer(raw_ids, "<i8"), np.frombuffer(raw, kind).reshape(-1, dim)
                 if not query:
-                    if not ids or ids[-1] != vec_id:
-                        ids.append(vec_id)
-                        rows.append(vector)
+                    members.append((ids, rows))
                     continue
                 if group is None:
-                    if not ids:
+                    if not members:
                         continue
-                    group = SlicedGroup(np.asarray(ids, np.int64), np.asarray(rows, np.int64))
-                    rows = []
-                got, scores = group.top(vec_id, np.asarray(vector, np.int64), k)
-                found += zip([vec_id] * len(got), got.tolist(), scores.tolist(), strict=True)
-            if found:
-                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], schema=OUT)
+                    ids_held, rows_held = (np.concatenate(x) for x in zip(*members, strict=True))
+                    order = np.argsort(ids_held, kind="stable")
+                    group, members = SlicedGroup(ids_held[order], rows_held[order].astype(np.int64)), []
+                found: list[tuple] = []
+                for vec_id, vector in zip(ids.tolist(), rows.astype(np.int64), strict=True):
+                    got, scores = group.top(vec_id, vector, k)
+                    found += zip([vec_id] * len(got), got.tolist(), scores.tolist(), strict=True)
+                if found:
+                    yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], schema=OUT)
 
     return run
 
@@ -159,14 +206,24 @@ def top_k_search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
     Both have (vec_id long, v array<long>).  Returns (query_id, rank, vec_id, score).
     """
-    prepare(vectors.sparkSession)
-    rows = stored(vectors.select("vec_id", "v").where(F.col("vec_id").isNotNull()), "bsi")
+    spark = vectors.sparkSession
+    prepare(spark)
+
+    def once(rows: DataFrame) -> DataFrame:
+        high = F.greatest(F.abs(F.array_max("v").cast("double")), F.abs(F.array_min("v").cast("double")))
+        fits = F.col("vec_id").isNotNull() & (F.size("v") * high * high < 2.0**62)
+        return rows.where(fits).groupBy("vec_id").agg(F.min("v").alias("v")).select(F.size("v").alias("dim"), "vec_id", "v")
+
+    rows = stored(once(vectors), "bsi")
     groups = partitions_for(rows.count(), GROUP_ROWS)
-    asked = queries.where(F.col("vec_id").isNotNull()).groupBy("vec_id").agg(F.min("v").alias("v"))
-    members = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(groups)).alias("g"), F.size("v").alias("dim"), F.lit(False).alias("q"), "vec_id", "v")
-    probes = asked.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("g"), F.size("v").alias("dim"), F.lit(True).alias("q"), "vec_id", "v")
-    dealt = members.union(probes).repartition(groups, "g").sortWithinPartitions("g", "dim", "q", "vec_id", "v")
-    best = dealt.mapInArrow(_search(k), "query_id long, vec_id long, score long")
+    kinds = "dim int, ids binary, kind string, rows binary"
+    # A group's rows first meet in its partition, then go as one block or a few to where the queries come.
+    dealt = rows.withColumn("g", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int")).repartitionById(groups, "g").select("dim", "vec_id", "v")
+    members = stored(dealt.mapInArrow(_blocks(GROUP_ROWS), kinds).withColumn("g", F.spark_partition_id()), "bsi-groups").select("g", "dim", F.lit(False).alias("q"), "ids", "kind", "rows")
+    asked = stored(once(queries).select("dim", "vec_id", "v").mapInArrow(_blocks(QUERY_BLOCK), kinds), "bsi-queries")
+    probes = asked.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), "dim", F.lit(True).alias("q"), "ids", "kind", "rows")
+    met = members.union(probes).repartitionById(groups, "g").sortWithinPartitions("g", "dim", "q")
+    best = met.mapInArrow(_search(k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

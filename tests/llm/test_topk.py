@@ -49,3 +49,22 @@ def test_search_over_groups(spark, monkeypatch):
 def test_empty(spark):
     v = quantised(spark.createDataFrame([], "vec_id long, embedding array<float>"))
     assert top_k_search(v, v, 5).count() == 0
+
+
+def test_components_beyond_64_bits_take_no_part(spark):
+    rows = [(0, [3.0, 4.0]), (50, [1e7, 2.0]), (1, [1e300, 1.0]), (2, [2.0, -1.0]), (3, [5e6, 1.0])]
+    e = spark.createDataFrame([(i, v, "x", 1) for i, v in rows], "vec_id long, embedding array<double>, query_id string, score int")
+    v = quantised(e)
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in top_k_search(v, v.where("vec_id % 50 = 0"), 5).collect()}
+    whole = {i: [int(np.floor(256 * x)) for x in v] for i, v in rows if max(v) < 1e8 and 2 * (256 * max(v)) ** 2 < 2**62}
+    assert 1 not in whole and 50 not in whole and got
+    for q in (0,):
+        want = sorted((-sum(a * b for a, b in zip(whole[q], w)), i) for i, w in whole.items() if i != q)
+        assert [got[q, k + 1] for k in range(len(want))] == [(i, -s) for s, i in want] and (q, len(want) + 1) not in got
+
+
+def test_narrow_blocks_hold_any_integer():
+    for top in (100, 40_000, 2**40):
+        rows = np.array([[top, -top], [0, 1]])
+        narrow = topk_bsi.narrowed(rows)
+        assert (np.frombuffer(narrow.tobytes(), narrow.dtype.str).reshape(-1, 2) == rows).all()
