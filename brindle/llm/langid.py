@@ -3,12 +3,12 @@
 Known words are scored by their log frequency in each language.  An unseen word falls back to its longest known
 character n-grams: at each place of the word the longest n-gram (``LONGEST`` down to one character) that the
 model knows speaks, each step down being discounted.  Counts come from a sample of the training rows of about ``SAMPLE_DOCS`` documents a
-language, drawn by a hash of the id; the tables keep the ``MOST_WORDS`` and ``MOST_GRAMS`` most frequent entries,
-which bounds what is broadcast.  Every whole text is scored,
+language, drawn by a hash of the id (where it is null, of the text); the tables keep the ``MOST_WORDS`` and ``MOST_GRAMS`` most frequent entries that are found
+``LEAST`` times or more, which bounds what is broadcast (all are parameters of ``fit``, None standing for all entries).  Every whole text is scored,
 and a word of any length is walked to its end, in training and in scoring: without spaces it can be a whole text.
 
 Defined cases: a text that is null or has no letter is `und` with score 0, as is every text when nothing could be
-learnt; a null doc_id counts as not held out; rows with a null lang teach nothing; ties go to the lesser language name.
+learnt; a null doc_id counts as not held out; rows with a null lang teach nothing, each value of lang is a language; ties go to the lesser language name.
 """
 
 from __future__ import annotations
@@ -21,12 +21,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import held_out, prepare, stored
+from brindle.llm.common import drawn, held_out, prepare, stored, sweeping
 from brindle.llm.words import cut_words, in_parts, sums_of
 
 SAMPLE_DOCS = 2000
 MOST_WORDS = 60_000
 MOST_GRAMS = 60_000
+LEAST = 2
 LONGEST = 5
 BACKOFF = 0.4
 #: Words whose evidence counts in full in the score; more words share it, as they are not independent.
@@ -130,23 +131,25 @@ class BackoffModel:
         return [(self.langs[b], float(c[b])) if k else ("und", 0.0) for k, b, c in zip(n.tolist(), best.tolist(), chance, strict=True)]
 
 
-def fit(docs: DataFrame, training: Column) -> BackoffModel:
+def fit(docs: DataFrame, training: Column, sample_docs: int | None = SAMPLE_DOCS, most_words: int | None = MOST_WORDS, most_grams: int | None = MOST_GRAMS, least: int = LEAST) -> BackoffModel:
+    """The model of the training rows with a language; a limit of None takes all documents of a language, or all words or n-grams."""
     known = docs.where(training & F.col("lang").isNotNull())
     counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a language
     langs = sorted(counts)
     if not langs:
         return BackoffModel([], {}, {})
-    share = F.create_map(*[F.lit(x) for lang in langs for x in (lang, min(1.0, SAMPLE_DOCS / counts[lang]))])
-    drawn = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) < F.element_at(share, F.col("lang")) * 1_000_000
-    counted = known.where(F.col("doc_id").isNull() | drawn).select("lang", "text").mapInArrow(_count, "lang string, kind string, item string, n long")
-    counted = stored(counted.groupBy("lang", "kind", "item").agg(F.sum("n").alias("n")), "language-counts")
-    wide = counted.groupBy("kind", "item").pivot("lang", langs).agg(F.sum("n")).fillna(0)
-    total = sum((F.col(f"`{lang}`") for lang in langs), F.lit(0))
-    wide = wide.select("kind", "item", F.array(*[F.col(f"`{lang}`") for lang in langs]).alias("c"), total.alias("n"))
-    tables = []
-    for kind, most in (("w", MOST_WORDS), ("g", MOST_GRAMS)):
-        top = wide.where((F.col("kind") == kind) & (F.col("n") >= 2)).orderBy(F.desc("n"), "item").limit(most).collect()
-        tables.append({r.item: np.array(r.c) for r in top})
+    if sample_docs is not None:
+        share = F.create_map(*[F.lit(x) for lang in langs for x in (lang, min(1.0, sample_docs / counts[lang]))])
+        known = known.where(drawn(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.xxhash64("text").cast("string"))), F.element_at(share, F.col("lang")), 3))
+    with sweeping(docs.sparkSession):
+        counted = known.select("lang", "text").mapInArrow(_count, "lang string, kind string, item string, n long")
+        counted = stored(counted.groupBy("lang", "kind", "item").agg(F.sum("n").alias("n")), "language-counts")
+        by_item = counted.groupBy("kind", "item").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by")).where(F.col("n") >= least)
+        tables = []
+        for kind, most in (("w", most_words), ("g", most_grams)):
+            top = by_item.where(F.col("kind") == kind).orderBy(F.desc("n"), "item")
+            rows = (top if most is None else top.limit(most)).select("item", "by").collect()
+            tables.append({r.item: np.array([r.by.get(lang, 0) for lang in langs]) for r in rows})
     return BackoffModel(langs, *tables)
 
 
