@@ -4,7 +4,7 @@ Documents may belong to several sources.  They are aggregated by pattern (the se
 network routes words from patterns to the sources' quotas: a pattern offers its size once for each allowed use, the first use
 free and every further one dearer (convex costs), and an arc joins it to each source in the pattern.  The cheapest largest flow says
 how many words each pattern gives.  Whole documents are then taken: full passes over a pattern, and for what is left
-documents in the order of a seeded hash, found by a histogram of the hash so that no pattern is sorted in one place.
+documents in the order of a seeded hash, found by a histogram of the hash, which is refined where the words run out until few documents are left there, so that no pattern is sorted in one place.
 A document that is larger than what is left is passed over: what is left is filled in rounds from the unused documents that fit it, in
 hash order again while it is wide, else from the largest candidates of each size class, a bounded number a round, until no unused document fits.
 
@@ -14,7 +14,6 @@ alike; an empty table gives no row; documents of size 0 have taken 0.
 
 from __future__ import annotations
 
-import math
 from collections import deque
 
 from pyspark.sql import Column, DataFrame, Window
@@ -25,8 +24,9 @@ from brindle.llm.common import stored
 WEIGHTS = (5, 2, 1)
 MOST_USES = 3
 SEED = 20_24
-#: Cells of the histogram of the seeded hash, for each pattern.
-CELLS = 4096
+#: Bits of the seeded hash, and those by which each histogram refines the one before; documents of a cell that are sorted in one place.
+DRAW_BITS, CELL_BITS = 60, 12
+SORTED = 100_000
 #: Candidates for the last gap in a round: so many of each pattern and size class (powers of two).  A gap of so many times the largest document that fits is wide.
 CANDIDATES = 16
 #: Patterns are planned on the driver; a mix has a configured set of sources, and more patterns than this are refused.
@@ -61,78 +61,124 @@ def targets_of(sizes: dict, weights: dict, most_uses: int = MOST_USES) -> dict:
 
 
 def cheapest_flow(patterns: list[tuple[frozenset, int]], quotas: dict, most_uses: int = MOST_USES) -> list[dict]:
-    """Words of each pattern that go to each source: a largest flow of least cost, by successive shortest paths.
+    """Words of each pattern that go to each source: a largest flow of least cost.
 
-    The r-th use of a pattern costs r - 1 a word, so uses are spread before any is repeated.
+    The r-th use of a pattern costs r - 1 a word, so uses are spread before any is repeated.  By primal-dual phases: shortest distances by cost,
+    then largest flows over the arcs on shortest ways, by levels; there are as many phases as there are lengths of shortest ways, which are few.
     """
     names = list(quotas)
-    start, end = 0, 1
+    start, end, n = 0, 1, 2 + len(names) + len(patterns)
     node = {s: 2 + i for i, s in enumerate(names)}
-    graph: list[list[list]] = [[] for _ in range(2 + len(names) + len(patterns))]
+    to: list[int] = []
+    room: list[int] = []
+    cost: list[int] = []
+    arcs: list[list[int]] = [[] for _ in range(n)]  # an arc's number; that of its reverse differs in the last bit
 
-    def arc(u: int, v: int, room: int, cost: int) -> list:
-        there, back = [v, room, cost, None], [u, 0, -cost, None]
-        there[3], back[3] = back, there
-        graph[u].append(there)
-        graph[v].append(back)
-        return there
+    def arc(u: int, v: int, most: int, price: int) -> int:
+        for a, b, r, c in ((u, v, most, price), (v, u, 0, -price)):
+            arcs[a].append(len(to))
+            to.append(b)
+            room.append(r)
+            cost.append(c)
+        return len(to) - 2
 
     sent: list[dict] = []
     for i, (members, size) in enumerate(patterns):
         p = 2 + len(names) + i
         for use in range(most_uses):
             arc(start, p, size, use)
-        sent.append({s: arc(p, node[s], most_uses * size, 0) for s in names if s in members})
+        sent.append({s: arc(p, node[s], most_uses * size, 0) for s in sorted(members, key=lambda s: (s is None, s))})
     for s in names:
         arc(node[s], end, max(0, int(quotas[s])), 0)
-    while True:
-        far, came, queue, waits = [math.inf] * len(graph), [None] * len(graph), deque([start]), {start}
-        far[start] = 0
+
+    def distances() -> list[int | None]:
+        far: list[int | None] = [None] * n
+        far[start], queue, waits = 0, deque([start]), [False] * n
         while queue:
             u = queue.popleft()
-            waits.discard(u)
-            for e in graph[u]:
-                if e[1] > 0 and far[u] + e[2] < far[e[0]]:
-                    far[e[0]], came[e[0]] = far[u] + e[2], e
-                    if e[0] not in waits:
-                        waits.add(e[0])
-                        queue.append(e[0])
-        if came[end] is None:
-            break
-        path, v = [], end
-        while v != start:
-            path.append(came[v])
-            v = came[v][3][0]
-        room = min(e[1] for e in path)
-        for e in path:
-            e[1] -= room
-            e[3][1] += room
-    return [{s: e[3][1] for s, e in arcs.items()} for arcs in sent]
+            waits[u] = False
+            for e in arcs[u]:
+                if room[e] and (far[to[e]] is None or far[u] + cost[e] < far[to[e]]):
+                    far[to[e]] = far[u] + cost[e]
+                    if not waits[to[e]]:
+                        waits[to[e]] = True
+                        queue.append(to[e])
+        return far
+
+    def levels(far: list) -> list[int]:
+        found, queue = [-1] * n, deque([start])
+        found[start] = 0
+        while queue:
+            u = queue.popleft()
+            for e in arcs[u]:
+                if room[e] and found[to[e]] < 0 and far[to[e]] == far[u] + cost[e]:
+                    found[to[e]] = found[u] + 1
+                    queue.append(to[e])
+        return found
+
+    def fill(far: list, level: list[int]) -> None:
+        """Sends all that the levels allow; an arc once found useless isn't tried again."""
+        tried = [0] * n
+        way: list[int] = []
+        u = start
+        while True:
+            if u == end:
+                most = min(room[e] for e in way)
+                for e in way:
+                    room[e] -= most
+                    room[e ^ 1] += most
+                way, u = [], start
+            while tried[u] < len(arcs[u]):
+                e = arcs[u][tried[u]]
+                if room[e] and level[to[e]] == level[u] + 1 and far[to[e]] == far[u] + cost[e]:
+                    break
+                tried[u] += 1
+            if tried[u] < len(arcs[u]):
+                way.append(arcs[u][tried[u]])
+                u = to[way[-1]]
+            elif way:
+                u = to[way.pop() ^ 1]
+                tried[u] += 1
+            else:
+                return
+
+    while (far := distances())[end] is not None:
+        while (level := levels(far))[end] >= 0:
+            fill(far, level)
+    return [{s: room[e ^ 1] for s, e in of.items()} for of in sent]
 
 
 def in_hash_order(drawn: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Which rows of drawn (key, more, doc_id, draw, cell, size) are the first in hash order that fit the key's ``more``, in a column extra.
+    """Which rows of drawn (key, more, doc_id, draw, size) are the first in hash order that fit the key's ``more``, in a column extra.
 
     Also, for each key whose sizes are above it, the gap that is left up to the first that doesn't fit.
     """
-    by_cell = drawn.where("more > 0").groupBy("key", "more", "cell").agg(F.sum("size").alias("words"))
-    ordered = Window.partitionBy("key").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)  # at most CELLS rows a key
-    edge = by_cell.withColumn("upto", F.sum("words").over(ordered)).where("upto > more").groupBy("key", "more").agg(F.min(F.struct("cell", "upto", "words")).alias("m"))
-    edge = stored(edge.select("key", F.col("m.cell").alias("edge"), (F.col("more") - F.col("m.upto") + F.col("m.words")).alias("room")), "edge")
+    edge, shift = None, DRAW_BITS
+    while edge is None or (shift and (edge.agg(F.max("n").alias("n")).first().n or 0) > SORTED):
+        if edge is None:
+            part = drawn.where("more > 0").withColumn("room", F.col("more"))
+        else:
+            part = drawn.join(F.broadcast(edge.select("key", "edge", "room")), "key").where(F.shiftright("draw", shift) == F.col("edge"))
+        shift -= CELL_BITS
+        by_cell = part.groupBy("key", "room", F.shiftright("draw", shift).alias("cell")).agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n"))
+        ordered = Window.partitionBy("key").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)  # at most 2 ** CELL_BITS rows a key
+        first = by_cell.withColumn("upto", F.sum("words").over(ordered)).where("upto > room").groupBy("key", "room").agg(F.min(F.struct("cell", "upto", "words", "n")).alias("m"))
+        edge = stored(first.select("key", F.col("m.cell").alias("edge"), (F.col("room") - F.col("m.upto") + F.col("m.words")).alias("room"), "m.n"), "edge")
     # Inside the cell where the words run out, documents follow in hash order as long as they fit; equal draws of one doc_id go together.
-    units = drawn.join(F.broadcast(edge), "key").where("cell = edge").groupBy("key", "doc_id", "draw", "room").agg(F.sum("size").alias("size"))
-    within = Window.partitionBy("key").orderBy("draw", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    cell = F.shiftright("draw", shift)
+    units = drawn.join(F.broadcast(edge), "key").where(cell == F.col("edge")).groupBy("key", "doc_id", "draw", "room").agg(F.sum("size").alias("size"))
+    within = Window.partitionBy("key").orderBy("draw", "doc_id").rowsBetween(Window.unboundedPreceding, 0)  # about SORTED rows a key, or those of one draw
     inside = stored(units.withColumn("upto", F.sum("size").over(within)), "inside")
     fits = inside.groupBy("key", "room").agg(F.max(F.when(F.col("upto") <= F.col("room"), F.struct("draw", "doc_id", "upto"))).alias("m")).select("key", F.col("m.draw").alias("last_draw"), F.col("m.doc_id").alias("last_id"), (F.col("room") - F.coalesce("m.upto", F.lit(0))).alias("gap"))
     fits = stored(edge.select("key", "edge").join(fits, "key"), "fits")
     at = drawn.join(F.broadcast(fits), "key", "left")
-    chosen = F.when(F.col("more") <= 0, False).when(F.col("edge").isNull(), True).when(F.col("cell") != F.col("edge"), F.col("cell") < F.col("edge"))
+    chosen = F.when(F.col("more") <= 0, False).when(F.col("edge").isNull(), True).when(cell != F.col("edge"), cell < F.col("edge"))
     chosen = chosen.otherwise(F.coalesce(F.struct("draw", "doc_id") <= F.struct(F.col("last_draw"), F.col("last_id")), F.lit(False)))
     return at.withColumn("extra", chosen), fits
 
 
 def filled(free: DataFrame, gaps: dict) -> list[tuple[DataFrame, bool]]:
-    """Units (key, doc_id) of free (key, doc_id, size, draw, cell) that fill the keys' gaps until none that is left fits, and whether they are few."""
+    """Units (key, doc_id) of free (key, doc_id, size, draw) that fill the keys' gaps until none that is left fits, and whether they are few."""
     spark = free.sparkSession
     kind = dict(free.dtypes)["doc_id"]
     picks: list[tuple] = []
@@ -140,7 +186,7 @@ def filled(free: DataFrame, gaps: dict) -> list[tuple[DataFrame, bool]]:
     while gaps:
         now = free.join(F.broadcast(spark.createDataFrame(list(gaps.items()), "key string, more long")), "key").where("size <= more")
         # The largest of each size class in each of CANDIDATES parts of the hash: pre-aggregated, and at most so many a class.
-        best = now.groupBy("key", F.floor(F.log2("size")).alias("class"), F.pmod("draw", F.lit(CANDIDATES)).alias("part")).agg(F.max(F.struct("size", "draw", "doc_id")).alias("m"))
+        best = now.groupBy("key", F.floor(F.log2("size")).alias("class"), F.pmod(F.shiftright("draw", DRAW_BITS - CELL_BITS), F.lit(CANDIDATES)).alias("part")).agg(F.max(F.struct("size", "draw", "doc_id")).alias("m"))
         by_key: dict = {}
         for c in best.select("key", "m.*").collect():
             by_key.setdefault(c.key, []).append(c)
@@ -196,10 +242,11 @@ def mix(docs: DataFrame, members: Column, weights=cyclic_weights, most_uses: int
         plan.append((r.key, r.size, passes, words - passes * r.size if passes < most_uses else 0))
     planned = F.broadcast(spark.createDataFrame(plan, "key string, pattern_size long, passes long, more long"))  # at most MOST_PATTERNS rows
 
-    draw = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    drawn = sized.join(planned, "key").withColumn("draw", draw).withColumn("cell", F.pmod(F.col("draw"), F.lit(CELLS)))
+    drawn_from = F.xxhash64(F.lit(seed), F.col("doc_id"))
+    draw = F.shiftleft(drawn_from.bitwiseAND(F.lit((1 << CELL_BITS) - 1)), DRAW_BITS - CELL_BITS) + F.shiftright(drawn_from, 64 - DRAW_BITS + CELL_BITS) + F.lit(1 << DRAW_BITS - CELL_BITS - 1)
+    drawn = sized.join(planned, "key").withColumn("draw", draw)
     at, fits = in_hash_order(drawn)
-    free = at.where("NOT extra AND gap > 0 AND size > 0 AND size <= gap").groupBy("key", "gap", "doc_id").agg(F.sum("size").alias("size"), F.first("draw").alias("draw"), F.first("cell").alias("cell")).where("size <= gap").drop("gap")
+    free = at.where("NOT extra AND gap > 0 AND size > 0 AND size <= gap").groupBy("key", "gap", "doc_id").agg(F.sum("size").alias("size"), F.first("draw").alias("draw")).where("size <= gap").drop("gap")
     out = at.drop("gap")
     gaps = {x.key: x.gap for x in fits.where("gap > 0").collect()}  # at most MOST_PATTERNS
     found = filled(stored(free, "free"), gaps)
