@@ -1,16 +1,16 @@
 """Quality classification by nearest-neighbour voting over latent-semantic vectors.
 
-A text becomes a bag of features: the shapes of its words (letter cases, digits and signs, runs shortened), pairs of neighbouring
+A text becomes a bag of features: its words, the shapes of its words (letter cases, digits and signs, runs shortened), pairs of neighbouring
 shapes, and graded shares of the whole text (distinct words, the commonest word, repeated lines, letters,
 capitals, digits, signs, word and line lengths).  Features are hashed to ``FEATURES`` columns, weighed by log frequency and
 inverse document frequency, and projected on ``RANK`` latent dimensions, found from a sample of labelled training
 documents.  The sample's latent vectors are broadcast (``SAMPLE_DOCS`` a class at most, in expectation); each document's
 exact cosines with all of them are computed in blocks, and its ``NEIGHBOURS`` nearest vote with weights that grow with
-similarity and even out the classes' sizes in the sample.
+similarity and even out the classes' sizes in the sample.  Every word is read whole, whatever its length.
 
-Defined cases: null, empty and word-less texts have features of their own (no words) and are scored like the rest;
-with one class or none in training every text scores 0.5 or the class itself; rows without a label teach nothing; of
-repeated labels the largest counts.
+Defined cases: null, empty and word-less texts have features of their own (no words) and are scored like the rest; a text like none of the labelled scores 0.5;
+with one class or none in training every text scores 0.5; rows without a label teach nothing; of
+repeated labels the largest counts; equal texts of a class count once in the sample.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from math import log1p
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,10 @@ from brindle.llm.common import held_out, prepare
 from brindle.llm.toxicity import labelled_sample
 
 SAMPLE_DOCS = 1500
-FEATURES = 1024
-RANK = 48
+FEATURES = 4096
+RANK = 64
+#: Weights of a word's and a shape pair's log frequency beside that of a shape.
+WORD, PAIR = 0.25, 0.5
 NEIGHBOURS = 25
 SHARPNESS = 8
 CACHE_WORDS = 300_000
@@ -40,8 +43,8 @@ _RUN = re.compile(r"(.)\1+")
 
 def shape(word: str) -> str:
     """The word with A for capitals, a for other letters, 9 for digits, runs of a sign shortened to one."""
-    s = "".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in word[:64])
-    return _RUN.sub(r"\1", s)[:12]
+    s = "".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in word)
+    return _RUN.sub(r"\1", s)
 
 
 def _column(feature: str) -> int:
@@ -57,7 +60,8 @@ def _graded(name: str, value: float, steps: int) -> list[tuple[int, float]]:
 
 class Features:
     def __init__(self) -> None:
-        self.memo: dict[str, str] = {}
+        self.memo: dict[str, tuple[str, int]] = {}
+        self.pairs: dict[tuple[str, str], int] = {}
 
     def of(self, text: str | None) -> dict[int, float]:
         text = text or ""
@@ -65,19 +69,25 @@ class Features:
         n = len(words)
         if not n:
             return {_column("no words"): 3.0}
-        if len(self.memo) > CACHE_WORDS:
-            self.memo = {}
-        memo, counts = self.memo, Counter(words)
-        shapes: Counter = Counter()
-        for w, k in counts.items():
-            s = memo.get(w)
-            if s is None:
-                s = memo[w] = shape(w)
-            shapes[s] += k
+        if len(self.memo) + len(self.pairs) > CACHE_WORDS:
+            self.memo, self.pairs = {}, {}
+        memo, known, counts = self.memo, self.pairs, Counter(words)
+        for w in counts:
+            if w not in memo:
+                memo[w] = (shape(w), _column("word " + w))
         out: dict[int, float] = {}
-        for s, k in shapes.items():
+        for w, k in counts.items():
+            c = memo[w][1]
+            out[c] = out.get(c, 0.0) + WORD * log1p(20.0 * k / n)
+        shapes = [memo[w][0] for w in words]
+        for s, k in Counter(shapes).items():
             c = _column(s)
-            out[c] = out.get(c, 0.0) + float(np.log1p(20.0 * k / n))
+            out[c] = out.get(c, 0.0) + log1p(20.0 * k / n)
+        for pair, k in Counter(zip(shapes, shapes[1:])).items():  # noqa: B905 (the second is shorter by one)
+            c = known.get(pair)
+            if c is None:
+                c = known[pair] = _column(f"pair {pair[0]} {pair[1]}")
+            out[c] = out.get(c, 0.0) + PAIR * log1p(20.0 * k / n)
         lines = text.split("\n")
         letters = sum(map(str.isalpha, text))
         size = len(text)
@@ -113,13 +123,22 @@ class LatentVotes:
         self.idf = np.log((len(labels) + 1) / (df + 1)).astype(np.float32) + 0.5
         x *= self.idf
         x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-        _, vectors = np.linalg.eigh(x.T @ x)
-        self.projection = np.ascontiguousarray(vectors[:, ::-1][:, : min(RANK, len(labels))])
+        self.projection = self._leading(x)
         self.points = self._unit(x @ self.projection)
         self.labels = labels.astype(np.float32)
         share = np.bincount(labels, minlength=2) / max(1, len(labels))
         self.balance = np.where(labels == 1, 1 / max(share[1], 1e-9), 1 / max(share[0], 1e-9)).astype(np.float32)
 
+    @staticmethod
+    def _leading(x: np.ndarray, rounds: int = 8) -> np.ndarray:
+        """The leading right singular vectors, by subspace iteration from a seeded start."""
+        rank = min(RANK, *x.shape)
+        basis = np.random.default_rng(1).normal(size=(x.shape[1], min(rank + 16, x.shape[1]))).astype(np.float32)
+        for _ in range(rounds):
+            basis, _ = np.linalg.qr(x.T @ (x @ basis))
+        _, _, turn = np.linalg.svd(x @ basis, full_matrices=False)
+        return np.ascontiguousarray((basis @ turn.T)[:, :rank])
+
     @staticmethod
     def _unit(x: np.ndarray) -> np.ndarray:
         return (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)).astype(np.float32)
@@ -133,7 +152,7 @@ class LatentVotes:
         k = min(NEIGHBOURS, near.shape[1])
         at = np.argpartition(-near, k - 1, axis=1)[:, :k]
         weight = np.maximum(np.take_along_axis(near, at, axis=1), 1e-3) ** SHARPNESS * self.balance[at]
-        return (weight * self.labels[at]).sum(axis=1) / weight.sum(axis=1)
+        return np.where(near.max(axis=1) > 1e-3, (weight * self.labels[at]).sum(axis=1) / weight.sum(axis=1), 0.5)
 
 
 def fit(docs: DataFrame, labels: DataFrame, training: Column) -> LatentVotes | None:
