@@ -17,8 +17,8 @@ streams its queries.  A list or part gives each vector's count of links and one
 with there, never all pairs.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and rows with a null
-label, link with nothing and are components of their own, kept; vectors of different lengths aren't compared; rows that repeat a vec_id count once, as the
-least (label, vector); an empty table gives no row.
+label, link with nothing and are components of their own, kept; labels of any type are compared by their text; vectors of different lengths aren't compared; rows that repeat a vec_id count once, as the
+least (label, vector); an empty table gives no row; further columns are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.common import prepare, shuffle_width, stored
+from brindle.llm.common import drawn, prepare, shuffle_width, stored, sweeping
 from brindle.llm.components import components
 from brindle.llm.topk_bsi import usable
 
@@ -42,6 +42,8 @@ SUBSPACES, CODES = 8, 64
 BLOCK = 2048
 SHELF = 1024
 QUERIES = 256
+#: Rows (members, and queries of a shelf or part) that a comparing task streams on average at most.
+TASK_ROWS = 200_000
 SLACK = 1e-5
 
 FOUND = pa.schema([("rep", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
@@ -214,10 +216,10 @@ def _compare(quantisers, radius: float, threshold: float):
 def fit(reps: DataFrame, sample: int = SAMPLE) -> dict[int, Quantiser]:
     """Quantisers by vector length, from about ``sample`` vectors."""
     n = reps.count()
-    drawn = reps if n <= sample else reps.where(F.pmod(F.xxhash64("rep", F.lit(11)), F.lit(1_000_000)) < 1_000_000 * sample / n)
+    picked = reps.where(drawn(F.col("rep"), sample / max(1, n), 11))
     by_length: dict[int, list] = {}
     lists = int(min(MOST_LISTS, max(1, n // PER_LIST)))
-    for r in drawn.select("rep", "v").collect():  # about ``sample`` rows
+    for r in picked.select("rep", "v").collect():  # about ``sample`` rows
         by_length.setdefault(len(r.v), []).append((r.rep, r.v))
     for r in reps.select(F.size("v").alias("dim"), "rep", "v").groupBy("dim").agg(F.min_by("v", "rep").alias("v")).collect():  # a vector for each length
         by_length.setdefault(r.dim, []).append((-1, r.v))
@@ -229,35 +231,38 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, sample:
     spark = embeddings.sparkSession
     prepare(spark)
     radius = float(np.sqrt(2 - 2 * threshold))
-    row = F.struct(F.col("label").cast("long").alias("label"), F.col("embedding").alias("v"))
+    row = F.struct(F.col("label").cast("string").alias("label"), F.col("embedding").alias("v"))
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), row.alias("r")).groupBy("vec_id").agg(F.min("r").alias("r")).select("vec_id", "r.label", "r.v")
     good = usable(F.col("v")) & F.exists("v", lambda x: x != 0) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
-    rows = stored(rows.withColumn("good", F.coalesce(good, F.lit(False))), "vectors")
-    same = rows.where("good").groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("m"))
-    reps = stored(same.select("label", F.size("v").cast("long").alias("dim"), "rep", "m", "v"), "reps")
-    quantisers = spark.sparkContext.broadcast(fit(reps, sample))  # bounded by MOST_LISTS and CODES
-    element = "float" if dict(reps.dtypes)["v"] == "array<float>" else "double"
-    indexed = stored(reps.select("label", "dim", "rep", "m", F.col("v").cast(f"array<{element}>")).mapInArrow(_index(quantisers, radius), f"label long, dim long, rep long, m long, v array<{element}>, home long, lists array<long>, code binary, missed double"), "index")
-    held = indexed.groupBy("label", "dim", F.col("home").alias("list")).agg(F.count(F.lit(1)).alias("n"))
-    small = F.when(F.col("n") <= BLOCK, F.col("n")).otherwise(0)
-    before = F.sum(small).over(Window.partitionBy("label", "dim").orderBy("list")) - small  # at most MOST_LISTS rows a window
-    shelf = F.when(F.col("n") <= BLOCK, F.floor(before / SHELF)).otherwise(-1 - F.col("list"))
-    shelved = held.select("label", "dim", "list", F.struct(shelf.alias("shelf"), F.ceil(F.col("n") / BLOCK).alias("parts")).alias("at"))
-    by_list = shelved.groupBy("label", "dim").agg(F.map_from_entries(F.collect_list(F.struct("list", "at"))).alias("m"), F.max("list").alias("last"))  # at most MOST_LISTS entries
-    places = stored(by_list.select("label", "dim", F.transform(F.sequence(F.lit(0).cast("long"), "last"), lambda x: F.col("m")[x]).alias("places")), "places")  # by the list's number, null for a list without members
-    at = indexed.join(places, ["label", "dim"])
-    place = lambda x: F.get("places", x.cast("int"))
-    members = at.select("label", "dim", place(F.col("home"))["shelf"].alias("shelf"), F.pmod(F.xxhash64("rep", F.lit(7)), place(F.col("home"))["parts"]).alias("part"), F.lit(False).alias("query"), "rep", "m", "v", "home", F.array("home").alias("lists"), "code", "missed")
-    shelves = F.array_compact(F.array_distinct(F.transform("lists", lambda x: place(x)["shelf"])))
-    there = at.withColumn("shelf", F.explode(shelves)).withColumn("lists", F.filter("lists", lambda x: place(x)["shelf"] == F.col("shelf")))
-    parts = F.sequence(F.lit(0).cast("long"), place(F.get("lists", F.lit(0)))["parts"] - 1)  # a shelf of several lists has one part
-    queries = there.select("label", "dim", "shelf", F.explode(parts).alias("part"), F.lit(True).alias("query"), "rep", "m", "v", "home", "lists", F.lit(None).cast("binary").alias("code"), F.lit(None).cast("double").alias("missed"))
-    keys = ["label", "dim", "shelf", "part"]
-    dealt = members.union(queries).repartition(shuffle_width(spark), *keys).sortWithinPartitions(*keys, "query", "rep")
-    found = stored(dealt.mapInArrow(_compare(quantisers, radius, threshold), "rep long, links long, root long"), "found")
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    named = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    of_rep = stored(reps.select("label", "v", "rep", "m").join(links, "rep", "left").join(named.withColumnRenamed("id", "rep"), "rep", "left").select("label", "v", (F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "of_rep")
+    with sweeping(spark) as keep:
+        rows = stored(rows.withColumn("good", F.coalesce(good, F.lit(False))), "vectors", keep)
+        same = rows.where("good").groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("m"))
+        reps = stored(same.select("label", F.size("v").cast("long").alias("dim"), "rep", "m", "v"), "reps")
+        quantisers = spark.sparkContext.broadcast(fit(reps, sample))  # bounded by MOST_LISTS and CODES
+        element = "float" if dict(reps.dtypes)["v"] == "array<float>" else "double"
+        indexed = stored(reps.select("label", "dim", "rep", "m", F.col("v").cast(f"array<{element}>")).mapInArrow(_index(quantisers, radius), f"label string, dim long, rep long, m long, v array<{element}>, home long, lists array<long>, code binary, missed double"), "index")
+        held = indexed.groupBy("label", "dim", F.col("home").alias("list")).agg(F.count(F.lit(1)).alias("n"))
+        small = F.when(F.col("n") <= BLOCK, F.col("n")).otherwise(0)
+        before = F.sum(small).over(Window.partitionBy("label", "dim").orderBy("list")) - small  # at most MOST_LISTS rows a window
+        shelf = F.when(F.col("n") <= BLOCK, F.floor(before / SHELF)).otherwise(-1 - F.col("list"))
+        shelved = held.select("label", "dim", "list", F.struct(shelf.alias("shelf"), F.ceil(F.col("n") / BLOCK).alias("parts")).alias("at"))
+        by_list = shelved.groupBy("label", "dim").agg(F.map_from_entries(F.collect_list(F.struct("list", "at"))).alias("m"), F.max("list").alias("last"))  # at most MOST_LISTS entries
+        places = stored(by_list.select("label", "dim", F.transform(F.sequence(F.lit(0).cast("long"), "last"), lambda x: F.col("m")[x]).alias("places")), "places")  # by the list's number, null for a list without members
+        at = indexed.join(places, ["label", "dim"])
+        place = lambda x: F.get("places", x.cast("int"))
+        members = at.select("label", "dim", place(F.col("home"))["shelf"].alias("shelf"), F.pmod(F.xxhash64("rep", F.lit(7)), place(F.col("home"))["parts"]).alias("part"), F.lit(False).alias("query"), "rep", "m", "v", "home", F.array("home").alias("lists"), "code", "missed")
+        shelves = F.array_compact(F.array_distinct(F.transform("lists", lambda x: place(x)["shelf"])))
+        there = at.withColumn("shelf", F.explode(shelves)).withColumn("lists", F.filter("lists", lambda x: place(x)["shelf"] == F.col("shelf")))
+        parts = F.sequence(F.lit(0).cast("long"), place(F.get("lists", F.lit(0)))["parts"] - 1)  # a shelf of several lists has one part
+        queries = there.select("label", "dim", "shelf", F.explode(parts).alias("part"), F.lit(True).alias("query"), "rep", "m", "v", "home", "lists", F.lit(None).cast("binary").alias("code"), F.lit(None).cast("double").alias("missed"))
+        keys = ["label", "dim", "shelf", "part"]
+        asked = shelved.join(indexed.select("label", "dim", F.explode("lists").alias("list")).groupBy("label", "dim", "list").agg(F.count(F.lit(1)).alias("probes")), ["label", "dim", "list"])
+        rows_dealt = asked.agg(F.sum(F.col("probes") * F.col("at.parts")).alias("n")).first().n or 0  # at least as many as are dealt
+        dealt = members.union(queries).repartition(shuffle_width(spark, rows_dealt, TASK_ROWS), *keys).sortWithinPartitions(*keys, "query", "rep")
+        found = stored(dealt.mapInArrow(_compare(quantisers, radius, threshold), "rep long, links long, root long"), "found")
+        links = found.groupBy("rep").agg(F.sum("links").alias("links"))
+        named = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
+        of_rep = stored(reps.select("label", "v", "rep", "m").join(links, "rep", "left").join(named.withColumnRenamed("id", "rep"), "rep", "left").select("label", "v", (F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "of_rep", keep)
     linked = rows.where("good").join(of_rep, ["label", "v"]).select("vec_id", "n_links", "component_id")
     alone = rows.where("NOT good").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
