@@ -1,6 +1,8 @@
 import collections
 import hashlib
+import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -40,6 +42,48 @@ def test_langid_of_texts_without_spaces(spark):
     assert (got[300], got[301]) == ("one", "two")
 
 
+def test_langid_scores_against_definition(spark):
+    """Word by word from counts of its own; no table is cut."""
+    r = random.Random(19)
+    rows = [(i, prose(r, r.randint(1, 12), WORDS if i % 2 else OTHER), "one" if i % 2 else "two", "s") for i in range(60)]
+    model = langid.fit(frame(spark, rows), F.lit(True), None, None, None, 1)
+    words, grams = {k: collections.Counter() for k in ("one", "two")}, {k: collections.Counter() for k in ("one", "two")}
+    for _, text, lang, _ in rows:
+        for w in text.lower().split():
+            words[lang][w] += 1
+            grams[lang].update(f"\x02{w}\x03"[i : i + n] for n in range(1, 6) for i in range(len(w) + 3 - n))
+
+    def logs(tables, items):
+        return {x: [math.log((t[x] + 0.5) / (sum(t[y] for y in items) + 0.5 * len(items))) for t in tables.values()] for x in items}
+
+    by_word = logs(words, set().union(*words.values()))
+    by_gram = {n: logs(grams, {g for g in set().union(*grams.values()) if len(g) == n}) for n in range(1, 6)}
+
+    def score(w):
+        if w in by_word:
+            return by_word[w]
+        held, found = f"\x02{w}\x03", []
+        for i in range(len(held)):
+            for n in range(min(5, len(held) - i), 0, -1):
+                if held[i : i + n] in by_gram[n]:
+                    found.append([x * 0.4 ** (5 - n) for x in by_gram[n][held[i : i + n]]])
+                    break
+        return [sum(c) / len(found) for c in zip(*found)] if found else [0.0, 0.0]
+
+    texts = [prose(r, 6, WORDS + OTHER + ["karozu", "quasu", "blorix", "zzz", "kalogrifen" * 3]) for _ in range(40)]
+    for text, (lang, chance) in zip(texts, model.predict(texts)):
+        total = [sum(c) for c in zip(*(score(w) for w in text.split()))]
+        weight = [math.exp((x - max(total)) * min(1.0, 20 / len(text.split()))) for x in total]
+        assert lang == ("one" if total[0] >= total[1] else "two") and math.isclose(chance, max(weight) / sum(weight), rel_tol=1e-9)
+
+
+def test_langid_of_rows_without_ids(spark):
+    rows = [(None, "".join(chr(97 + int(d)) for d in str(1000 + i)), "one", "s") for i in range(400)]  # a word of its own in each
+    docs = frame(spark, rows)
+    assert len(langid.fit(docs, F.lit(True), None, None, None, 1).words) == 400
+    assert 10 < len(langid.fit(docs, F.lit(True), 40, None, None, 1).words) < 90
+
+
 # -- lines
 
 def brute_lines(rows):
@@ -125,6 +169,77 @@ def test_flow_spreads_before_it_repeats():
     assert taken == [10 + 5, 10, 5] or taken == [15, 10, 5] or (max(taken) <= 15 and sum(taken) == 30)
 
 
+def cheapest_by_single_paths(patterns, quotas, most_uses):
+    """Amount and cost of a cheapest largest flow, one shortest path after another."""
+    names = list(quotas)
+    arcs = []  # from, to, room, cost; the reverse stands next
+    def arc(u, v, r, c):
+        arcs.extend([[u, v, r, c], [v, u, 0, -c]])
+    for i, (members, size) in enumerate(patterns):
+        for use in range(most_uses):
+            arc("S", i, size, use)
+        for s in members:
+            arc(i, f"n{s}", most_uses * size, 0)
+    for s in names:
+        arc(f"n{s}", "T", quotas[s], 0)
+    amount = cost = 0
+    while True:
+        far, came = {"S": 0}, {}
+        for _ in range(len(patterns) + len(names) + 2):
+            for i, (u, v, r, c) in enumerate(arcs):
+                if r and u in far and far[u] + c < far.get(v, 1e18):
+                    far[v], came[v] = far[u] + c, i
+        if "T" not in far:
+            return amount, cost
+        way, v = [], "T"
+        while v != "S":
+            way.append(came[v])
+            v = arcs[came[v]][0]
+        most = min(arcs[i][2] for i in way)
+        for i in way:
+            arcs[i][2] -= most
+            arcs[i ^ 1][2] += most
+        amount, cost = amount + most, cost + most * far["T"]
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_flow_is_a_cheapest_largest_one(seed):
+    rng = random.Random(seed)
+    names = "abcd"[: rng.randint(1, 4)]
+    patterns = [(frozenset(rng.sample(names, rng.randint(0, len(names)))), rng.randint(0, 30)) for _ in range(rng.randint(1, 8))]
+    quotas = {s: rng.randint(0, 80) for s in names}
+    flows = mixing.cheapest_flow(patterns, quotas, 3)
+    taken = [sum(f.values()) for f in flows]
+    assert all(set(f) == set(m) and min([0, *f.values()]) == 0 and t <= 3 * size for f, t, (m, size) in zip(flows, taken, patterns))
+    assert all(sum(f.get(s, 0) for f in flows) <= quotas[s] for s in names)
+    cost = sum(sum(max(0, min(size, t - use * size)) * use for use in range(3)) for t, (_, size) in zip(taken, patterns))
+    assert (sum(taken), cost) == cheapest_by_single_paths(patterns, quotas, 3)
+
+
+def test_flow_of_many_patterns():
+    rng = random.Random(3)
+    names = [f"s{i}" for i in range(40)]
+    patterns = [(frozenset(rng.sample(names, rng.randint(1, 5))), rng.randint(1, 1000)) for _ in range(20_000)]
+    began = time.perf_counter()
+    flows = mixing.cheapest_flow(patterns, {s: rng.randint(1, 1_000_000) for s in names})
+    assert len(flows) == len(patterns) and time.perf_counter() - began < 60
+
+
+@pytest.mark.parametrize("sorted_at_once", [100_000, 3])
+def test_refined_histograms_give_the_same_mix(spark, monkeypatch, sorted_at_once):
+    monkeypatch.setattr(mixing, "SORTED", sorted_at_once)
+    monkeypatch.setattr(mixing, "CELL_BITS", 2 if sorted_at_once == 3 else 12)
+    rng = random.Random(8)
+    rows = [(i, prose(rng, rng.randint(1, 60)), "en", rng.choice("ab")) for i in range(300)]
+    sizes = {i: len(t.split()) for i, t, *_ in rows}
+    got = {r.doc_id: r for r in mixing.digest(frame(spark, rows)).collect()}
+    for s in "ab":
+        own = [i for i, _, _, x in rows if x == s]
+        gap = got[own[0]].target - sum(got[i].taken for i in own)
+        passes = min(got[i].taken // sizes[i] for i in own)
+        assert -1 <= gap and all(sizes[i] > gap for i in own if got[i].taken // sizes[i] == passes and passes < 3)
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_mix_comes_near_its_targets(spark, seed):
     rng = random.Random(seed)
@@ -187,14 +302,41 @@ def test_quality(spark, rng, odd, empty):
     assert {r.score for r in quality.predicted(odd, labels.where("false")).collect()} == {0.5}
 
 
-def brute_segments(places, scores, toll):
-    """All maximal scoring segments by their definition's recursion: the best one, then both sides."""
-    if not places:
-        return []
-    n = places[-1] + 1
-    x = [-toll] * n
-    for p, s in zip(places, scores):
-        x[p] = s - toll
+def test_quality_votes_against_definition():
+    r = random.Random(21)
+    made = quality.Features()
+    texts = [prose(r, r.randint(1, 80), WORDS if i % 2 else OTHER) + ("." if i % 2 else "!! 12") for i in range(80)]
+    rows = [made.of(t) for t in texts]
+    labels = np.array([i % 2 for i in range(80)])
+    model = quality.LatentVotes([list(x) for x in rows], [list(x.values()) for x in rows], labels)
+
+    def latent(row):
+        x = np.zeros(quality.FEATURES)
+        for c, v in row.items():
+            x[c] = v
+        x = x * model.idf @ model.projection
+        return x / np.linalg.norm(x)
+
+    points = [latent(x) for x in rows]
+    asked = [made.of(t) for t in (prose(r, 30), prose(r, 30, OTHER) + "!!", "", None)]
+    got = model.votes(asked)
+    assert got[2] == got[3] == 0.5  # like none of the labelled
+    for row, got in zip(asked[:2], got):
+        near = sorted(((float(latent(row) @ p), y) for p, y in zip(points, labels)), reverse=True)[: quality.NEIGHBOURS]
+        vote = [max(c, 1e-3) ** quality.SHARPNESS for c, _ in near]  # both classes are of one size
+        assert abs(got - sum(v * y for v, (_, y) in zip(vote, near)) / sum(vote)) < 1e-3
+
+
+def test_quality_features_read_words_and_their_order():
+    made = quality.Features()
+    a, b = made.of("Ab cd 12 EF, gh"), made.of("gh 12 Ab cd EF,")
+    assert a != b and made.of("some words here") != made.of("other terms here")
+    long = "a" * 5000 + "9Z" * 3000
+    assert quality.shape(long) == "a" + "9A" * 3000 and made.of(long) != made.of("a" * 5000)
+
+
+def brute_segments(x):
+    """All maximal scoring segments of scores by their definition's recursion: the best one, then both sides."""
 
     def best(a, b):
         top = None
@@ -208,20 +350,70 @@ def brute_segments(places, scores, toll):
             return []
         return best(a, top[1]) + [(top[1], top[2], top[0])] + best(top[2] + 1, b)
 
-    return best(0, n)
+    return best(0, len(x))
 
 
 @pytest.mark.parametrize("seed", range(20))
 def test_segments_against_definition(seed):
     rng = random.Random(seed)
-    places = sorted(rng.sample(range(40), rng.randint(0, 12)))
-    scores = [rng.uniform(0.6, 3) for _ in places]
-    got = toxicity.maximal_segments(places, scores, 0.5)
-    want = brute_segments(places, scores, 0.5)
+    x = [rng.choice([-0.5, -0.5, rng.uniform(-3, 0), rng.uniform(0.1, 3)]) for _ in range(rng.randint(0, 40))]
+    total = np.concatenate([[0.0], np.cumsum(x)])
+    at = [i for i, v in enumerate(x) if v > 0]
+    got = toxicity.maximal_segments(at, total[at].tolist(), total[[i + 1 for i in at]].tolist())
+    want = brute_segments(x)
     assert [(a, b) for a, b, _ in got] == [(a, b) for a, b, _ in want]
     assert np.allclose([s for *_, s in got], [s for *_, s in want])
 
 
+@pytest.mark.parametrize("seed", range(5))
+def test_toxic_scores_against_definition(seed):
+    rng = random.Random(seed)
+    model = toxicity.SegmentModel({"bad": 2.1013, "worse": 2.4171, "fine": -1.5377, "^grob": 1.9079}, rate=1.7, log_k=-2.0, slope=1.3, base=-2.2)
+    words = ["bad", "worse", "fine", "grobian", "grob", "other", "Bad"]
+    texts = [" ".join(rng.choice(words[: rng.randint(2, 7)] + ["filler"] * 6) for _ in range(rng.randint(1, 60))) for _ in range(40)] + ["", None]
+    for text, score in zip(texts, model.score(texts)):
+        x = []
+        for w in (text or "").lower().split():
+            known = next((v for k, v in model.scores.items() if k == w), None)
+            x.append((known if known is not None else 1.9079 if w.startswith("grob") and len(w) > 4 else 0.0) - toxicity.TOLL)
+        evidence = [1.7 * s - math.log(max(1, len(x))) + 2.0 for *_, s in brute_segments(x)]
+        total = sum(e for e in evidence if e > -math.log(toxicity.EXPECTED))
+        want = 1 / (1 + math.exp(2.2 - 1.3 * math.log1p(total)))
+        assert math.isclose(score, want if total else min(want, 0.25), rel_tol=1e-9)
+
+
+def test_log_odds_against_definition(spark):
+    counts = [(30.0, 2.0), (1.0, 40.0), (5.0, 5.0), (0.0, 9.0)]
+    t_all, c_all = 36.0, 56.0
+    odds, z = toxicity.log_odds(F.col("t"), F.col("c"), t_all, c_all)
+    for (t, c), r in zip(counts, spark.createDataFrame(counts, "t double, c double").select(odds.alias("o"), z.alias("z")).collect()):
+        own, prior = 0.1 * (t + c), 0.1 * (t_all + c_all)
+        want = math.log((t + own) / (t_all + prior - t - own)) - math.log((c + own) / (c_all + prior - c - own))
+        assert math.isclose(r.o, want) and math.isclose(r.z, want / math.sqrt(1 / (t + own) + 1 / (c + own)))
+
+
+def test_extreme_value_law_is_found_again():
+    rng = np.random.default_rng(2)
+    n = rng.integers(20, 2000, 4000).astype(float)
+    rate, log_k = 1.4, math.log(0.01)
+    tops = (np.log(n) + log_k - np.log(-np.log(rng.uniform(size=4000)))) / rate  # by the law; below nothing: no segment
+    got = toxicity.extreme_value_fit(n, np.maximum(tops, 0), 1.0)
+    assert abs(got[0] - rate) < 0.1 and abs(got[1] - log_k) < 0.15
+    assert toxicity.extreme_value_fit(n, np.zeros(4000), 1.0)[0] == 1.0
+
+
+def test_neighbours_that_differ(spark):
+    """A word of one fixed passage counts once, one that stands in many places counts nearly in full, on either side or at texts' ends."""
+    r = random.Random(4)
+    passage = "kax losu middleword nero varo"
+    rows = [(1, f"start{i} {prose(r, 5)} {passage} {prose(r, 5)} end{i}") for i in range(40)]
+    batches = toxicity._count(iter([__import__("pyarrow").record_batch([[y for y, _ in rows], [t for _, t in rows]], ["y", "text"])]))
+    found = {x["word"]: x for b in batches for x in b.to_pylist()}
+    frame = spark.createDataFrame([(w, x["toxic"], x["lefts"], x["rights"]) for w, x in found.items()], "w string, toxic long, l long, r long")
+    got = {r.w: r.n for r in frame.select("w", toxicity.differing(F.col("toxic"), F.col("l"), F.col("r")).alias("n")).collect()}
+    assert got["middleword"] < 2 and got["start"] > 20 and got["end"] > 20
+
+
 def test_toxicity(spark, rng, odd, empty):
     bad = ["grobian", "grobling", "vexator"]
     rows = []
@@ -235,7 +427,10 @@ def test_toxicity(spark, rng, odd, empty):
     labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(400)], "doc_id long, quality int, toxic int")
     got = {r.doc_id: r for r in toxicity.predicted(frame(spark, rows), labels).collect()}
     assert all(got[i].predicted == int(i % 4 == 0) for i in range(400))
-    assert got[901].predicted == got[902].predicted == 0 and got[901].score < 0.5
+    assert got[901].predicted == got[902].predicted == 0 and got[901].score <= 0.25
+    loose = spark.createDataFrame([(i, 1, int(i % 4 == 0 or i % 2)) for i in range(400)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in toxicity.predicted(frame(spark, rows), loose).collect()}  # most toxic labels without evidence
+    assert got[901].predicted == got[902].predicted == 0
     assert toxicity.predicted(odd, labels).count() == odd.count()
     assert toxicity.predicted(empty, labels).count() == 0
     assert {r.score for r in toxicity.predicted(odd, labels.where("toxic = 0")).collect()} == {0.0}
@@ -384,6 +579,13 @@ def test_vectors_against_brute_force(spark, monkeypatch):
 
 # -- all of it
 
+def test_vectors_with_text_labels_and_clashing_columns(spark):
+    rows = [(0, [1.0, 0.0], "a"), (1, [1.0, 0.01], "a"), (2, [1.0, 0.0], "b"), (3, [1.0, 0.0], "b"), (4, [0.0, 1.0], "a")]
+    e = spark.createDataFrame([(*r, 7, "x", 1.5) for r in rows], "vec_id long, embedding array<double>, label string, n_links int, rep string, v double")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vector_dedup.near_duplicates(e).collect()}
+    assert got == {0: (1, 0), 1: (1, 0), 2: (1, 2), 3: (1, 2), 4: (0, 4)}
+
+
 def test_vectors_of_few_dimensions_among_many(spark, monkeypatch):
     """Partners that differ in a subspace only, on many lists, several of them on a shelf or in parts."""
     monkeypatch.setattr(vector_dedup, "PER_LIST", 30)

@@ -130,7 +130,9 @@ def test_neighbours_against_brute_force_bm25(query_terms):
     for seed in (0, 7, 99):
         index = packing.Bm25Shard(docs, idf, average, query_terms)
         index.unused[[seed, 3, 5]] = False
-        terms = sorted(set(docs[seed].tolist()), key=lambda t: -weight(t, docs[seed]))[:query_terms]
+        terms = index.asks[seed].tolist()
+        own = sorted((weight(t, docs[seed]) for t in set(docs[seed].tolist())), reverse=True)[:query_terms]
+        assert np.allclose(sorted((weight(t, docs[seed]) for t in terms), reverse=True), own)
         want = {i: sum(weight(t, d) for t in terms) for i, d in enumerate(docs) if i not in (seed, 3, 5)}
         got = list(index.neighbours(seed))
         assert set(got) == {i for i, x in want.items() if x > 0}
