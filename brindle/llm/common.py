@@ -71,7 +71,7 @@ def sweeping(spark: SparkSession) -> Iterator[set[str]]:
     try:
         yield keep
     finally:
-        _watching.remove(made)
+        _watching.pop()  # made: bodies end in the order they began, the last first
         for path in made:
             if path not in keep:
                 with contextlib.suppress(Exception):  # what is left goes with the application's folder

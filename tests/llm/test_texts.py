@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from brindle.llm import components, langid, linededup, mixing, probminhash, quality, toxicity, vector_dedup
+from brindle.llm import components, langid, linededup, mixing, packing, probminhash, quality, toxicity, vector_dedup
 from brindle.llm.common import held_out, stored
 from brindle.llm.words import cut_words
 
@@ -604,6 +604,64 @@ def test_vectors_of_few_dimensions_among_many(spark, monkeypatch):
         assert {r.vec_id: (r.n_links, r.component_id) for r in vector_dedup.near_duplicates(e).collect()} == want
 
 
+def test_pipeline_stages_by_their_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(29)
+    line = "one line of more than forty characters that many documents share"
+    rows = []
+    for i in range(150):
+        text = prose(rng, 60) + "." if i % 5 else " ".join(w.upper() + "!!" for w in prose(rng, 60).split())
+        rows.append((i, f"{text}\n{line}" if i % 3 == 0 else text, "en", rng.choice(["a", "a", "b", None])))
+    rows += [(200, rows[1][1] + " more", "en", "a"), (201, rows[2][1], "en", "b"), (201, rows[2][1] + " still", "en", "b"), (201, rows[3][1], "en", "a"), (None, rows[4][1], "en", "a"), (None, rows[6][1], "en", "b")]
+    docs = frame(spark, rows).select("doc_id", "text", "lang", "source", "n_chars")
+    spark.createDataFrame([(i, int(i % 5 > 0), 0) for i in range(150)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    labels = spark.read.parquet(f"{tmp_path}/labels.parquet")
+
+    def rows_of(df):
+        return sorted(map(tuple, df.collect()), key=str)
+
+    good = stored(stages["quality_classifier"](spark, docs, str(tmp_path)), "good")
+    bad = {r.doc_id for r in quality.predicted(docs, labels).collect() if not r.predicted}
+    assert bad == {i for i in range(0, 150, 5)} and rows_of(good) == sorted((tuple(r) for r in docs.collect() if r.doc_id not in bad), key=str)
+
+    lines = stored(stages["line_dedup"](spark, good, str(tmp_path)), "lines")
+    held = [r for r in good.collect()]
+    last = max(r.doc_id for r in held if r.doc_id is not None and line in r.text)
+    want = []
+    for r in held:
+        text = r.text if r.doc_id is None or r.doc_id == last else "\n".join(x for x in r.text.split("\n") if x != line)
+        want.append((r.doc_id, text, r.lang, r.source, len(text)))
+    assert rows_of(lines) == sorted(want, key=str) and len(want) > 100
+
+    alone = stored(stages["minhash_near_dedup"](spark, lines, str(tmp_path)), "alone")
+    least: dict = {}
+    for r in want:
+        if r[0] is not None:
+            least[r[0]] = min(least.get(r[0], r), r, key=lambda x: x[1])
+    name = brute_components([(i, r[1]) for i, r in least.items()])
+    assert rows_of(alone) == sorted([r for i, r in least.items() if name[i] == i] + [r for r in want if r[0] is None], key=str)
+    assert name[200] == 1 and len(least) - sum(name[i] == i for i in least) >= 2
+
+    mixed = stored(stages["source_mixing"](spark, alone, str(tmp_path)), "mixed")
+    uses = {(r.doc_id, r.size): r.taken // r.size for r in mixing.digest(alone).collect()}
+    assert rows_of(mixed) == sorted((tuple(r) for r in alone.collect() for _ in range(uses[r.doc_id, len(r.text.split())])), key=str)
+
+    pieces = stages["retrieval_packing"](spark, mixed, str(tmp_path)).collect()
+    encoded = packing.encoder(packing.default_path())
+    ids = collections.Counter()
+    for r, x in zip(mixed.collect(), encoded.encode_documents([r.text for r in mixed.collect()])):
+        ids[r.doc_id] += len(x)
+    found = collections.Counter()
+    for p in pieces:
+        found[p.doc_id] += p.length
+    assert found == ids
+
+    spark.createDataFrame(docs.collect(), docs.schema).write.parquet(f"{tmp_path}/documents.parquet")
+    assert collections.Counter((p.doc_id, p.length) for p in corpus_pipeline.run(spark, str(tmp_path)).collect()).keys() == collections.Counter((p.doc_id, p.length) for p in pieces).keys()
+
+
 def test_pipeline_on_odd_documents(spark, odd, empty, tmp_path):
     import corpus_pipeline
 
