@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
 Stages are written as Parquet and read again by whoever runs them one by one; ``run`` does so in the shared folder.
 Every stage works on empty tables, null texts and repeated rows as its operator defines; rows with a null doc_id
-pass through the dedup stages.
+pass through the dedup stages; of rows that repeat a doc_id the near-dedup keeps the least by text, then by all columns; rows that repeat a
+doc_id in a source are used alike by the mix.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm import linededup, mixing, packing, probminhash, quality
-from brindle.llm.common import stored, table
+from brindle.llm.common import removed, stored, sweeping, table
 
 
 def keep_good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,17 +28,28 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return out.withColumn("text", text).withColumn("n_chars", F.coalesce(F.length(text), F.lit(0)).cast("long")).select(docs.columns)
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows with a doc_id, one for each: the least by text, then by all columns."""
+    known = docs.where("doc_id IS NOT NULL")
+    if known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        return known
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return stored(known.groupBy("doc_id").agg(F.min_by(row, F.struct("text", F.to_json(row))).alias("row")).select("row.*"), "one-of-each")
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, the one with the least doc_id."""
-    found = probminhash.near_duplicates(docs.select("doc_id", "text")).where("kept AND doc_id IS NOT NULL").select("doc_id")
-    return docs.join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).union(docs.where("doc_id IS NULL"))
+    one = one_of_each(docs)
+    found = probminhash.near_duplicates(one.select("doc_id", "text")).where("kept").select("doc_id")
+    return one.join(found, "doc_id", "left_semi").select(docs.columns).union(docs.where("doc_id IS NULL"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix of sources uses it."""
     taken, _ = mixing.mix(docs, F.array(F.col("source").cast("string")))
-    uses = taken.groupBy("doc_id").agg(F.max("uses").cast("int").alias("uses")).where("uses > 0")
-    at = docs.alias("d").join(uses.alias("u"), F.col("d.doc_id").eqNullSafe(F.col("u.doc_id")))
+    uses = taken.groupBy("doc_id", F.element_at("pattern", 1).alias("source")).agg(F.max("uses").cast("int").alias("uses")).where("uses > 0")
+    same = F.col("d.doc_id").eqNullSafe(F.col("u.doc_id")) & F.col("d.source").cast("string").eqNullSafe(F.col("u.source"))
+    at = docs.alias("d").join(uses.alias("u"), same)
     return at.select("d.*", F.explode(F.array_repeat(F.lit(1), F.col("u.uses"))).alias("use")).select(docs.columns)
 
 
@@ -54,12 +66,16 @@ STAGES = [
     ("retrieval_packing", pack_sequences),
 ]
 
-#: SQL can express neither the classifier nor the signatures; the stages are tested against brute-force versions.
+#: SQL can express neither the classifier nor the signatures; the stages' rows are tested against brute-force versions or their operators' own.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        with sweeping(spark) as keep:  # a stage's own scratch goes with it, and then the table it read
+            docs = stored(stage(spark, docs, sf_dir), name, keep)
+        if last:
+            removed(spark, last)
+        last = next(iter(keep))
     return STAGES[-1][1](spark, docs, sf_dir)
