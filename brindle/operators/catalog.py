@@ -51,6 +51,8 @@ class TableMeta:
     made: int = 0  # columns ever made
     rows: int | None = None
     indexes: dict[str, str] = field(default_factory=dict)
+    appends: int = 0  # since the files were last written as a whole
+    streams: dict[str, int] = field(default_factory=dict)  # the last micro-batch of each stream that the table has
     frame: DataFrame | None = None  # of an attached table, which is read only
 
     def column(self, name: str) -> ColumnMeta:
@@ -68,12 +70,17 @@ class TableMeta:
     def schema(self) -> T.StructType:
         return T.StructType([T.StructField(c.physical, c.kind.spark) for c in self.columns])
 
+    @property
+    def order(self) -> list[str]:
+        """Physical names of the indexed columns, by which rows are laid out."""
+        return list(dict.fromkeys(self.column(c).physical for c in self.indexes.values()))
+
     @property
     def path(self) -> str:
         return f"{self.folder}/v{self.version}"
 
     def to_json(self) -> dict:
-        return {"name": self.name, "columns": [c.to_json() for c in self.columns], "folder": self.folder, "version": self.version, "made": self.made, "rows": self.rows, "indexes": self.indexes}
+        return {"name": self.name, "columns": [c.to_json() for c in self.columns], "folder": self.folder, "version": self.version, "made": self.made, "rows": self.rows, "indexes": self.indexes, "appends": self.appends, "streams": self.streams}
 
     @staticmethod
     def from_json(x: dict) -> TableMeta:
@@ -109,7 +116,7 @@ class Catalog:
 
     def database(self) -> Database:
         if self.current is None:
-            raise EngineError("no database selected - run 'use <database>' first")
+            raise EngineError("a database must be chosen first, by 'use' or 'create database'")
         return self.current
 
     def create(self, name: str) -> None:
@@ -127,16 +134,29 @@ class Catalog:
             self.databases[name] = Database(name, {x["name"]: TableMeta.from_json(x) for x in raw["tables"]}, {k: tuple(v) for k, v in raw["enums"].items()})
         self.current = self.databases[name]
 
-    def save(self) -> None:
-        """Writes the current database's metadata; data files are written by the statements themselves."""
-        if self.current is not None and self.current.saved:
-            d = self.current
+    def save(self, database: Database | None = None) -> None:
+        """Writes a database's metadata, by default the current one's; data files are written by the statements themselves."""
+        d = database or self.current
+        if d is not None and d.saved:
             raw = {"tables": [x.to_json() for x in d.tables.values() if x.frame is None], "enums": {k: list(v) for k, v in d.enums.items()}}
             self.files.write(self._place(d.name), json.dumps(raw, indent=1))
 
     def _place(self, name: str) -> str:
         return f"{self.folder}/{name}/catalog.json"
 
+    def sweep(self) -> None:
+        """Deletes what the current database's folder has besides the tables' current versions; queries made before on older ones then fail."""
+        place = f"{self.folder}/{self.database().name}"
+        current = {x.folder: f"v{x.version}" for x in self.database().tables.values() if x.frame is None}
+        for folder in self.files.folders(place):
+            known = next((v for f, v in current.items() if f.rsplit("/", 1)[-1] == folder), None)
+            if known is None:
+                self.files.delete(f"{place}/{folder}")
+            else:
+                for version in self.files.folders(f"{place}/{folder}"):
+                    if version != known:
+                        self.files.delete(f"{place}/{folder}/{version}")
+
     # -- tables
 
     def attach(self, name: str, frame: DataFrame) -> None:
@@ -171,6 +191,7 @@ class Catalog:
                 index = next((k for k, col in table.indexes.items() if col == c.name), "")
                 ref = c.references or ("", "")
                 rows.append((table.name, c.name, c.kind.display, i, int(not c.not_null), int(c.unique), int(c.primary), int(c.references is not None), *ref, int(bool(c.check_text)), c.check_text, int(bool(index)), index, int(table.frame is None), table.rows, c.distinct, c.nulls))
+        # The virtual table's column names, by which users query it.
         return self.spark.createDataFrame(
             rows,
             "table_name string, column_name string, type string, ordinal long, nullable long, is_unique long, is_primary_key long, is_foreign_key long, fk_ref_table string, fk_ref_column string, "

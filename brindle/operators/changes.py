@@ -2,11 +2,13 @@
 
 An INSERT's rows are checked as one batch: joins find duplicates, missing parents and failed checks, and the least row at
 fault is where the batch stops; the rows before it stay.  A CHECK that is unknown rejects its row.  A DELETE first looks for
-children of the rows that go, then rewrites the table as a new version, which readers of the old one don't notice.
+children of the rows that go, then writes the table as a new version.  Versions that are no longer current stay until ``Catalog.sweep``, so that
+queries made before go on.  A table's rows are written in the order of its indexed columns, and every ``MERGE_AFTER`` appends its files are merged.
 """
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -22,6 +24,8 @@ from brindle.sources.csv_files import read_csv
 from brindle.types import LogicalType, parse_literal
 
 _ROW = "__row"
+#: Appends after which a table's files are merged.
+MERGE_AFTER = 32
 
 
 def condition_on(table: TableMeta, renderer: Renderer, node) -> str:
@@ -56,9 +60,26 @@ class Changes:
     def __init__(self, catalog: Catalog, renderer: Renderer) -> None:
         self.catalog, self.renderer, self.spark = catalog, renderer, catalog.spark
 
+    @staticmethod
+    def _physical(table: TableMeta, rows: DataFrame) -> DataFrame:
+        return rows.select([F.col(name_sql(c.name)).cast(c.kind.spark).alias(c.physical) for c in table.columns])
+
     def _append(self, table: TableMeta, rows: DataFrame) -> None:
-        rows.select([F.col(name_sql(c.name)).cast(c.kind.spark).alias(c.physical) for c in table.columns]).write.mode("append").parquet(table.path)
+        out, keys = self._physical(table, rows), table.order
+        (out.sortWithinPartitions(*keys) if keys else out).write.mode("append").parquet(table.path)
         table.rows = None
+        table.appends += 1
+        if table.appends >= MERGE_AFTER:
+            self.rewrite(table, self.catalog.frame(table))
+
+    def rewrite(self, table: TableMeta, rows: DataFrame) -> None:
+        """Writes rows as the table's next version, in the order of its indexed columns, so that files and row groups are skipped by their statistics."""
+        out, keys = self._physical(table, rows), table.order
+        out = out.repartitionByRange(*keys).sortWithinPartitions(*keys) if keys else out  # small files are read several to a task, and so are merged
+        out.write.mode("overwrite").parquet(f"{table.folder}/v{table.version + 1}")
+        table.version += 1
+        table.appends = 0
+        self.catalog.save()
 
     # -- INSERT
 
@@ -83,9 +104,9 @@ class Changes:
     @staticmethod
     def _parsed(table: TableMeta, listed: list, row: list) -> tuple:
         if len(row) > len(listed):
-            raise EngineError("too many values in 'insert' statement")
+            raise EngineError(f"a row has {len(row)} values for {len(listed)} columns")
         if len(row) < len(listed):
-            raise EngineError("mismatch in column count and value count in 'insert' statement")
+            raise EngineError(f"a row has only {len(row)} values for {len(listed)} columns")
         values = {}
         for c, node in zip(listed, row, strict=True):
             if isinstance(node, t.Null):
@@ -110,15 +131,15 @@ class Changes:
         for i, c in enumerate(table.columns):
             col = F.col(name_sql(c.name))
             if c.not_null:
-                fault(batch.where(col.isNull()), 4 * i, f"insert: NOT NULL constraint violated on column '{c.name}'")
+                fault(batch.where(col.isNull()), 4 * i, f"column '{c.name}' must have a value (NOT NULL)")
             if c.unique or c.primary:
-                message = f"insert: UNIQUE constraint violated on column '{c.name}'"
+                message = f"a value is already there in column '{c.name}' (UNIQUE)"
                 there = self.catalog.frame(table).select(col.alias("__v"))
                 fault(batch.join(there, col == F.col("__v"), "left_semi"), 4 * i + 1, message)
                 first = batch.where(col.isNotNull()).groupBy(col.alias("__v")).agg(F.min(_ROW).alias("__first"))
                 fault(batch.join(first, (col == F.col("__v")) & (F.col(_ROW) > F.col("__first"))), 4 * i + 1, message)
             if c.references:
-                message = f"insert: FOREIGN KEY constraint violated on column '{c.name}' - no matching row in '{c.references[0]}({c.references[1]})'"
+                message = f"column '{c.name}' refers to a value that '{c.references[0]}.{c.references[1]}' lacks (FOREIGN KEY)"
                 parents = self.catalog.database().tables.get(c.references[0])
                 mine = batch.where(col.isNotNull())
                 if parents is None or all(p.name != c.references[1] for p in parents.columns):
@@ -130,7 +151,7 @@ class Changes:
                         orphans = orphans.join(earlier, (col == F.col("__v")) & (F.col("__r") < F.col(_ROW)), "left_anti")
                     fault(orphans, 4 * i + 2, message)
             if c.check_text:
-                fault(batch.alias(table.name).where(f"NOT {check_sql(table, c.check_text)}"), 4 * i + 3, f"insert: CHECK constraint violated on column '{c.name}'")
+                fault(batch.alias(table.name).where(f"NOT {check_sql(table, c.check_text)}"), 4 * i + 3, f"a row fails the condition of column '{c.name}' (CHECK)")
         worst = reduce(DataFrame.union, faults).orderBy(_ROW, "order").first()
         if worst is None:
             return rows, None
@@ -150,16 +171,11 @@ class Changes:
                     continue
                 children = self.catalog.frame(other).select(F.col(name_sql(c.name)).alias("__v"))
                 if not gone.join(children, F.col(f"{name_sql(name)}.{name_sql(c.references[1])}") == F.col("__v"), "left_semi").isEmpty():
-                    raise ConstraintViolation(f"delete: rows of '{name}' are referenced by '{other.name}({c.name})'")
+                    raise ConstraintViolation(f"'{other.name}.{c.name}' still refers to rows that would go from '{name}'")
         n = gone.count()
         if n:
-            old = table.path
-            kept = frame.where(~goes).select([F.col(name_sql(c.name)).alias(c.physical) for c in table.columns])
-            kept.write.mode("overwrite").parquet(f"{table.folder}/v{table.version + 1}")
-            table.version += 1
+            self.rewrite(table, frame.where(~goes))
             table.rows = None
-            self.catalog.save()
-            self.catalog.files.delete(old)
         return n
 
     # -- IMPORT
@@ -171,14 +187,11 @@ class Changes:
 
     def replace(self, name: str, frame: DataFrame, columns: list[tuple[str, LogicalType]]) -> int:
         database = self.catalog.database()
-        old = database.tables.get(name)
-        made = TableMeta(name, [], f"{self.catalog.folder}/{database.name}/{name}", old.version + 1 if old and old.frame is None else 0)
+        made = TableMeta(name, [], f"{self.catalog.folder}/{database.name}/{name}-{uuid.uuid4().hex[:8]}")  # a folder of its own: another table may have had the name
         for column, kind in columns:
             made.add(column, kind)
-        self.catalog.files.delete(made.path)
         self._append(made, frame)
-        database.tables[name] = made
-        if old is not None and old.frame is None:
-            self.catalog.files.delete(old.path)
         made.rows = self.catalog.frame(made).count()
+        database.tables[name] = made
+        self.catalog.save()
         return made.rows

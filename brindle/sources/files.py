@@ -38,6 +38,11 @@ class Files:
             fs.delete(at, False)
         fs.rename(beside, at)
 
+    def folders(self, path: str) -> list[str]:
+        """Names of the folders in a folder."""
+        at, fs = self._at(path)
+        return sorted(x.getPath().getName() for x in fs.listStatus(at) if x.isDirectory()) if fs.exists(at) else []
+
     def delete(self, path: str) -> None:
         at, fs = self._at(path)
         fs.delete(at, True)

@@ -102,16 +102,16 @@ def parse_literal(kind: LogicalType, text: str, column: str):
         try:
             value = int(Decimal(text))
         except InvalidOperation:
-            raise EngineError(f"invalid number '{text}' for column '{column}'") from None
+            raise EngineError(f"column '{column}' takes a number, not '{text}'") from None
         low, high = INTEGER_RANGES[k]
         if not low <= value <= high:
-            raise EngineError(f"'{text}' is out of range of {k} for column '{column}'")
+            raise EngineError(f"column '{column}' holds {low} to {high}, not {text}")
         return Decimal(value) if k == "u64" else value
     if k in ("f32", "f64"):
         try:
             value = float(text)
         except ValueError:
-            raise EngineError(f"invalid number '{text}' for column '{column}'") from None
+            raise EngineError(f"column '{column}' takes a number, not '{text}'") from None
         return struct.unpack("f", struct.pack("f", value))[0] if k == "f32" else value
     if k == "bool":
         if text.lower() in ("true", "false"):
@@ -124,13 +124,13 @@ def parse_literal(kind: LogicalType, text: str, column: str):
     elif k == "decimal":
         found = parse_decimal(text, kind.scale)
         if found is not None and abs(found) >= Decimal(10) ** (kind.precision - kind.scale):
-            raise EngineError(f"decimal literal '{text}' overflows {kind.display} for column '{column}'")
+            raise EngineError(f"column '{column}' is {kind.display}, which has no room for {text}")
     elif k == "enum":
         if text not in kind.labels:
-            raise EngineError(f"'{text}' is not a valid label for enum type '{kind.enum}' on column '{column}'")
+            raise EngineError(f"column '{column}' takes one of {', '.join(kind.labels)}, not '{text}'")
         found = text
     else:
         found = text
     if found is None:
-        raise EngineError(f"invalid {k} literal '{text}' for column '{column}'")
+        raise EngineError(f"column '{column}' can't read '{text}' as {k}")
     return found
