@@ -2,7 +2,8 @@
 
 Import infers column types from the header and at most the next 255 lines: digits are u32, or u64 beyond it; digits with a point
 f32 where that keeps the value, else f64; all else is text.  Mixed columns are text, but for u32 with u64 and f32
-with f64.  Empty fields are null.  The file itself is then read in parallel with that schema.
+with f64.  Empty fields are null.  The whole file is then read in parallel: a column with a cell further down that its type can't hold
+becomes u64 where that holds all of them, else text, so that no cell is lost.
 """
 
 from __future__ import annotations
@@ -10,8 +11,9 @@ from __future__ import annotations
 import csv
 import re
 import struct
+from decimal import Decimal
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.errors import EngineError
@@ -71,9 +73,22 @@ def read_csv(spark: SparkSession, path: str) -> tuple[DataFrame, list[tuple[str,
     columns = inferred(head)
     raw = spark.read.csv(path, header=True, schema=", ".join(f"`{n}` STRING" for n, _ in columns), quote='"', escape='"', nullValue="", emptyValue="", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, enforceSchema=True)
     text = {n: F.when(F.trim(F.col(f"`{n}`")) != "", F.col(f"`{n}`")) for n, _ in columns}
+    tried = [(n, kind) for n, k in columns if k.kind != "string8" for kind in dict.fromkeys([k.kind, *(["u64"] if k.kind == "u32" else [])])]
+    if tried:
+        lost = raw.agg(*[F.count_if(text[n].isNotNull() & ~fitting(text[n], LogicalType(kind))).alias(f"{i}") for i, (n, kind) in enumerate(tried)]).first()
+        fits = [x for i, x in enumerate(tried) if not lost[i]]
+        columns = [(n, k if k.kind == "string8" else LogicalType(next((kind for m, kind in fits if m == n), "string8"))) for n, k in columns]
     return raw.select([(text[n] if k.kind == "string8" else text[n].try_cast(k.spark)).alias(n) for n, k in columns]), columns
 
 
+def fitting(text: Column, kind: LogicalType) -> Column:
+    """Whether a cell is a value of a type; whole numbers have digits alone."""
+    fits = text.try_cast(kind.spark).isNotNull()
+    if kind.kind in ("u32", "u64"):
+        return F.coalesce(fits & F.trim(text).rlike(r"^\d+$") & (text.try_cast("decimal(38,0)") < F.lit(Decimal(2 ** (32 if kind.kind == "u32" else 64)))), F.lit(False))
+    return fits
+
+
 def write_csv(frame: DataFrame, path: str) -> None:
     """A folder of CSV files with headers: numbers with fractions have six digits, dates and times are ISO, nulls are empty."""
     out = []
