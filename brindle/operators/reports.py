@@ -44,12 +44,39 @@ def explain(catalog: Catalog, sql: str) -> DataFrame:
     return catalog.spark.sql(f"EXPLAIN COST {sql}")
 
 
+#: Milliseconds in a unit of Spark's metric types.
+_UNITS = {"timing": 1.0, "nsTiming": 1e-6}
+
+
 def explain_analyze(catalog: Catalog, frame: DataFrame) -> DataFrame:
-    """Runs the query and shows each node of the plan that ran, with the rows it gave."""
+    """Runs the query and shows each node of the plan that ran.
+
+    rows: those it gave; estimate: those that the optimizer's statistics foretold (from sizes, where it has no count); q_error: by what factor they
+    differ, a row counting as one at least; millis: the time that Spark has measured for the node itself, summed over its tasks.
+    """
     plan = frame._jdf.queryExecution().executedPlan()
     began = time.time()
     rows = plan.execute().count()
-    out = [(0, f"query: {rows} rows in {time.time() - began:.3f} s", rows)]
+    out = [(0, f"query: {rows} rows in {time.time() - began:.3f} s", rows, None, None, (time.time() - began) * 1000)]
+
+    def estimate(node) -> int | None:
+        link = node.logicalLink()
+        if not link.isDefined():
+            return None
+        stats = link.get().stats()
+        if stats.rowCount().isDefined():
+            return int(str(stats.rowCount().get()))
+        columns = link.get().output()
+        width = 8 + sum(columns.apply(i).dataType().defaultSize() for i in range(columns.size()))
+        return max(1, int(str(stats.sizeInBytes())) // width)
+
+    def measured(node) -> float | None:
+        found, each = [], node.metrics().iterator()
+        while each.hasNext():
+            metric = each.next()._2()
+            if metric.metricType() in _UNITS:
+                found.append(max(0, metric.value()) * _UNITS[metric.metricType()])
+        return round(sum(found), 3) if found else None
 
     def walk(node, depth: int) -> None:
         name = node.nodeName()
@@ -57,9 +84,12 @@ def explain_analyze(catalog: Catalog, frame: DataFrame) -> DataFrame:
             return walk(node.executedPlan(), depth)
         if name in ("ShuffleQueryStage", "BroadcastQueryStage", "ResultQueryStage", "TableCacheQueryStage"):
             return walk(node.plan(), depth)
-        metric = node.metrics().get("numOutputRows")
-        if not name.startswith("WholeStageCodegen") and name != "InputAdapter":
-            out.append((depth, "  " * depth + node.simpleString(200), metric.get().value() if metric.isDefined() else None))
+        if name != "InputAdapter":
+            metric = node.metrics().get("numOutputRows")
+            gave = metric.get().value() if metric.isDefined() else None
+            told = estimate(node) if gave is not None else None
+            error = max(max(told, 1) / max(gave, 1), max(gave, 1) / max(told, 1)) if told is not None else None
+            out.append((depth, "  " * depth + node.simpleString(200), gave, told, error, measured(node)))
             depth += 1
         children = node.children()
         for i in range(children.size()):
@@ -67,4 +97,4 @@ def explain_analyze(catalog: Catalog, frame: DataFrame) -> DataFrame:
         return None
 
     walk(plan, 1)
-    return catalog.spark.createDataFrame(out, "depth int, plan string, rows long")
+    return catalog.spark.createDataFrame(out, "depth int, plan string, rows long, estimate long, q_error double, millis double")
