@@ -44,6 +44,7 @@ QUERIES: dict[str, tuple[str, str | None]] = {
     "filter_in_list": ("SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')", None),
     "filter_not_in_list": ("SELECT n_nationkey, n_name FROM nation WHERE n_regionkey NOT IN (1, 3)", None),
     "filter_is_null": ("SELECT c.c_custkey, o.o_orderkey FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey WHERE o.o_orderkey IS NULL", None),
+    "filter_is_null_some": ("SELECT c.c_custkey, c.c_name FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey AND o.o_totalprice > 400000 WHERE o.o_orderkey IS NULL", None),
     "filter_is_not_null": ("SELECT COUNT(*) AS n FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey WHERE o.o_orderkey IS NOT NULL", None),
     "null_comparison": ("SELECT COUNT(*) AS n FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey WHERE o.o_orderstatus != 'F'", None),
     "filter_date": ("SELECT o_orderkey FROM orders WHERE o_orderdate >= '1995-03-15' AND o_orderdate < '1995-06-15 12:00:00'", "SELECT o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '1995-03-15' AND o_orderdate < TIMESTAMP '1995-06-15 12:00:00'"),
@@ -63,6 +64,10 @@ QUERIES: dict[str, tuple[str, str | None]] = {
     # semi and anti joins, subqueries
     "semi_exists": ("SELECT c_custkey FROM customer c WHERE EXISTS (SELECT o_orderkey FROM orders o WHERE o.o_custkey = c.c_custkey)", None),
     "anti_not_exists": ("SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT o_orderkey FROM orders o WHERE o.o_custkey = c.c_custkey)", None),
+    "anti_not_exists_some": ("SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT o_orderkey FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 300000)", None),
+    "not_in_with_null": ("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o.o_custkey FROM nation n LEFT JOIN orders o ON n.n_nationkey = o.o_orderkey AND o.o_orderkey < 9)", None),
+    "not_in_empty": ("SELECT n_name FROM nation WHERE n_regionkey NOT IN (SELECT r_regionkey FROM region WHERE r_name = 'ATLANTIS')", None),
+    "not_in_strings": ("SELECT c_mktsegment, COUNT(*) AS n FROM customer WHERE c_mktsegment NOT IN (SELECT c_mktsegment FROM customer WHERE c_custkey = 1) GROUP BY c_mktsegment", None),
     "exists_constant": ("SELECT r_name FROM region WHERE EXISTS (SELECT n_name FROM nation WHERE n_nationkey = 3) AND r_regionkey < 3", None),
     "in_subquery": ("SELECT p_partkey FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity = 50)", None),
     "not_in_subquery": ("SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)", None),
@@ -76,6 +81,8 @@ QUERIES: dict[str, tuple[str, str | None]] = {
     "agg_dense_key": ("SELECT l_linenumber, COUNT(*) AS n, SUM(l_quantity) AS s FROM lineitem GROUP BY l_linenumber", None),
     "agg_high_cardinality": ("SELECT l_partkey, COUNT(*) AS n, SUM(l_quantity) AS s FROM lineitem GROUP BY l_partkey", None),
     "agg_min_max_text": ("SELECT c_mktsegment, MIN(c_name) AS lo, MAX(c_name) AS hi FROM customer GROUP BY c_mktsegment", None),
+    "agg_many": ("SELECT o_orderstatus, COUNT(*) AS n1, COUNT(o_custkey) AS n2, MIN(o_orderkey) AS n3, MAX(o_orderkey) AS n4, MIN(o_custkey) AS n5, MAX(o_custkey) AS n6, MIN(o_orderdate) AS n7, MAX(o_orderdate) AS n8, MIN(o_totalprice) AS n9, MAX(o_totalprice) AS n10, MIN(o_orderpriority) AS n11, MAX(o_orderpriority) AS n12 FROM orders GROUP BY o_orderstatus", None),
+    "agg_nested": ("SELECT o_orderstatus, MAX(n) AS most, MIN(n) AS least, COUNT(*) AS customers FROM (SELECT o_orderstatus, o_custkey, COUNT(*) AS n FROM orders GROUP BY o_orderstatus, o_custkey) AS t GROUP BY o_orderstatus", None),
     "distinct_via_group": ("SELECT COUNT(*) AS n FROM (SELECT user_id FROM events GROUP BY user_id) AS t", None),
     "null_group": ("SELECT o.o_orderstatus, COUNT(*) AS n, COUNT(o.o_orderkey) AS k FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey GROUP BY o.o_orderstatus", None),
     "bare_column": ("SELECT n_regionkey, r_name, COUNT(*) AS n FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY n_regionkey", "SELECT n_regionkey, any_value(r_name) AS r_name, COUNT(*) AS n FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY n_regionkey"),
@@ -88,11 +95,13 @@ QUERIES: dict[str, tuple[str, str | None]] = {
     "limit_offset": ("SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 10 OFFSET 30", None),
     "offset_alone": ("SELECT n_nationkey FROM nation ORDER BY n_nationkey OFFSET 20", None),
     "order_nulls": ("SELECT c.c_custkey, o.o_orderkey FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey ORDER BY o.o_orderkey, c.c_custkey LIMIT 40", "SELECT c.c_custkey, o.o_orderkey FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey ORDER BY o.o_orderkey NULLS FIRST, c.c_custkey LIMIT 40"),
+    "sort_by_unselected": ("SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 30", None),
     "sort_rows": ("SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem WHERE l_returnflag = 'A' ORDER BY l_extendedprice, l_orderkey, l_linenumber", None),
     # windows
     "win_row_number": ("SELECT o_orderkey, ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders", "SELECT o_orderkey, CAST(ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS INTEGER) AS rn FROM orders"),
     "win_row_number_unordered": ("SELECT n_regionkey, MAX(rn) AS m FROM (SELECT n_regionkey, ROW_NUMBER() OVER (PARTITION BY n_regionkey) AS rn FROM nation) AS t GROUP BY n_regionkey", "SELECT n_regionkey, CAST(COUNT(*) AS INTEGER) AS m FROM nation GROUP BY n_regionkey"),
     "win_rank_dense": ("SELECT l_orderkey, l_linenumber, RANK() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) AS r, DENSE_RANK() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) AS d FROM lineitem", "SELECT l_orderkey, l_linenumber, CAST(RANK() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) AS INTEGER) AS r, CAST(DENSE_RANK() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) AS INTEGER) AS d FROM lineitem"),
+    "win_over_groups": ("SELECT o_custkey, COUNT(*) AS n, RANK() OVER (ORDER BY COUNT(*) DESC) AS r FROM orders GROUP BY o_custkey", "SELECT o_custkey, COUNT(*) AS n, CAST(RANK() OVER (ORDER BY COUNT(*) DESC) AS INTEGER) AS r FROM orders GROUP BY o_custkey"),
     "win_lag_lead": ("SELECT o_orderkey, LAG(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before, LEAD(o_orderkey, 2, 0) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS after FROM orders", None),
     "win_running_sum_peers": ("SELECT o_orderkey, SUM(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate) AS running FROM orders", None),
     "win_partition_agg": ("SELECT o_orderkey, COUNT(*) OVER (PARTITION BY o_custkey) AS n, MIN(o_totalprice) OVER (PARTITION BY o_custkey) AS lo, MAX(o_totalprice) OVER (PARTITION BY o_custkey) AS hi, AVG(o_totalprice) OVER (PARTITION BY o_custkey) AS pa FROM orders", None),
@@ -170,10 +179,24 @@ def column_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine_over(spark, sf_dir, "nation region").sql("SELECT table_name, column_name, ordinal, nullable FROM column_catalog")
 
 
+def column_catalog_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All its columns, once ANALYZE has counted."""
+    e = own_engine(spark)
+    e.sql("create table p (id u32 primary key, name string8 not null check (name != 'zed')); create table c (k i64 unique, p u32 references p(id), x decimal(6,2)); create index by_p on c (p)")
+    e.sql("insert into p values (1, 'a'), (2, 'b'), (3, 'b'); insert into c values (10, 1, 0.5), (11, null, null), (12, 1, 0.5); analyze")
+    return e.sql("select * from column_catalog")
+
+
 def describe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine_over(spark, sf_dir, "lineitem").sql("DESCRIBE lineitem")
 
 
+def describe_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = own_engine(spark)
+    e.sql("create type hue as enum ('red', 'blue'); create table p (id u32 primary key, h hue, t timestamp); create table c (k u64 unique not null, p u32 references p(id), x decimal(6,2) check (x > 1)); create index by_x on c (x)")
+    return e.sql("describe p").union(e.sql("describe c"))
+
+
 def analyze(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine_over(spark, sf_dir, "nation").sql("ANALYZE nation")
 
@@ -182,6 +205,13 @@ def explain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine_over(spark, sf_dir, FLAGSHIP).sql(f"EXPLAIN {FLAGSHIP}")
 
 
+def explain_analyze(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that the whole query and its join gave, as EXPLAIN ANALYZE tells them, and any estimate or time that can't be."""
+    ran = engine_over(spark, sf_dir, "nation region").sql("EXPLAIN ANALYZE SELECT n_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_regionkey < 2")
+    whole = ran.where("depth = 0").select(F.lit("whole").alias("what"), "rows")
+    return whole.union(ran.where("trim(plan) LIKE '%Join %'").select(F.lit("join"), "rows")).union(ran.where("q_error < 1 OR millis < 0").select(F.lit("wrong"), "rows"))
+
+
 def own_engine(spark: SparkSession) -> Engine:
     """An engine with a new database of its own in the warehouse."""
     out = Engine(spark, f"{spark.conf.get('spark.sql.warehouse.dir')}/brindle-queries/{uuid.uuid4().hex[:10]}")
@@ -236,12 +266,76 @@ def altered_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.sql("select a, c from u")
 
 
+def import_after_rename(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table that was renamed stays what it was when its former name is imported into."""
+    e = own_engine(spark)
+    for name in ("nation", "region"):
+        engine_over(spark, sf_dir, name).export_csv(name, f"{e.catalog.folder}/{name}")
+    e.sql(f"import into a from '{e.catalog.folder}/nation'; alter table a rename to b; import into a from '{e.catalog.folder}/region'")
+    return e.sql("select n_name as name from b").union(e.sql("select r_name as name from a"))
+
+
+def delete_with_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query made before a DELETE and a new layout still has the rows of its time."""
+    e = own_engine(spark)
+    e.sql("create table t (a i32, b string8); insert into t values (1, 'x'), (2, 'y'), (3, 'z')")
+    before = e.sql("select a from t")
+    e.sql("delete from t where a = 2; create index i on t (a)")
+    return before.select("a", F.lit("before").alias("moment")).union(e.sql("select a from t").select("a", F.lit("after").alias("moment")))
+
+
+def reloaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two databases, used in turn, and read again by another engine from their files; an index comes and goes."""
+    e = own_engine(spark)
+    e.sql("create table t (a i32); insert into t values (1), (2); create database r; create table t (a i32, b string8); insert into t values (7, 'other'); use q; create index i on t (a); insert into t values (3); drop index i on t; create index i on t (a)")
+    again = Engine(spark, e.catalog.folder)
+    again.sql("use r; insert into t values (8, null)")
+    other = again.sql("select a, b from t")
+    again.sql("use q")
+    return again.sql("select a from t").select("a", F.lit(None).cast("string").alias("b")).union(other)
+
+
+def csv_beyond_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells far down that the sampled lines don't foretell are kept: the column is text."""
+    e = own_engine(spark)
+    path = f"{e.catalog.folder}/mixed"
+    orders = engine_over(spark, sf_dir, "orders").sql("select o_orderkey from orders order by o_orderkey")
+    orders.coalesce(1).selectExpr("o_orderkey AS k", "if(o_orderkey > 900, concat('n', o_orderkey), cast(o_orderkey as string)) AS v").write.csv(path, header=True)
+    return e.sql(f"import into c from '{path}'; select k, v from c").withColumn("k", F.col("k").cast("long"))
+
+
+def indexed_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A range of an indexed column in a table of one's own."""
+    e = own_engine(spark)
+    kind = e.catalog.kind("i64", ())
+    e.changes.replace("t", engine_over(spark, sf_dir, "orders").sql("select o_orderkey, o_custkey from orders"), [("o_orderkey", kind), ("o_custkey", kind)])
+    return e.sql("create index i on t (o_custkey); select o_orderkey, o_custkey from t where o_custkey >= 30 and o_custkey < 34")
+
+
+COLUMN_CATALOG = """
+SELECT * FROM (VALUES
+  ('p', 'id', 'u32', 0::BIGINT, 0::BIGINT, 0::BIGINT, 1::BIGINT, 0::BIGINT, '', '', 0::BIGINT, '', 0::BIGINT, '', 1::BIGINT, 3::BIGINT, 3::BIGINT, 0::BIGINT),
+  ('p', 'name', 'string8', 1, 0, 0, 0, 0, '', '', 1, 'name != ''zed''', 0, '', 1, 3, 2, 0),
+  ('c', 'k', 'i64', 0, 1, 1, 0, 0, '', '', 0, '', 0, '', 1, 3, 3, 0),
+  ('c', 'p', 'u32', 1, 1, 0, 0, 1, 'p', 'id', 0, '', 1, 'by_p', 1, 3, 1, 1),
+  ('c', 'x', 'decimal(6,2)', 2, 1, 0, 0, 0, '', '', 0, '', 0, '', 1, 3, 1, 1))
+  t(table_name, column_name, type, ordinal, nullable, is_unique, is_primary_key, is_foreign_key, fk_ref_table, fk_ref_column, has_check, check_text, is_indexed, index_name, is_disk_backed, row_count, distinct_count, null_count)
+"""
+
 SPECIAL: dict[str, tuple[Callable, str | None]] = {
     "approx_count_distinct": (approx_distinct, "SELECT l_returnflag, true AS within FROM lineitem GROUP BY l_returnflag"),
     "approx_percentile": (approx_percentile, "SELECT l_returnflag, true AS within FROM lineitem GROUP BY l_returnflag"),
     "percentile_exact": (percentile_exact, "SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.9), 2) AS p FROM lineitem GROUP BY l_returnflag"),
     "column_catalog": (column_catalog, "SELECT * FROM (VALUES ('nation', 'n_nationkey', 0::BIGINT, 1::BIGINT), ('nation', 'n_name', 1, 1), ('nation', 'n_regionkey', 2, 1), ('region', 'r_regionkey', 0, 1), ('region', 'r_name', 1, 1)) t(table_name, column_name, ordinal, nullable)"),
-    "describe": (describe, None),
+    "column_catalog_whole": (column_catalog_whole, COLUMN_CATALOG),
+    "describe_constraints": (describe_constraints, "SELECT * FROM (VALUES ('id', 'u32', 'NO', 'PRI', ''), ('h', 'hue', 'YES', '', ''), ('t', 'timestamp', 'YES', '', ''), ('k', 'u64', 'NO', 'UNI', ''), ('p', 'u32', 'YES', '', 'references p(id)'), ('x', 'decimal(6,2)', 'YES', '', 'indexed(by_x), check(x > 1)')) t(\"Column\", \"Type\", \"Null\", \"Key\", \"Extra\")"),
+    "explain_analyze": (explain_analyze, "SELECT 'whole' AS what, count(*) AS rows FROM nation WHERE n_regionkey < 2 UNION ALL SELECT 'join', count(*) FROM nation WHERE n_regionkey < 2"),
+    "import_after_rename": (import_after_rename, "SELECT n_name AS name FROM nation UNION ALL SELECT r_name FROM region"),
+    "delete_with_reader": (delete_with_reader, "SELECT a::INTEGER AS a, moment FROM (VALUES (1, 'before'), (2, 'before'), (3, 'before'), (1, 'after'), (3, 'after')) t(a, moment)"),
+    "reloaded": (reloaded, "SELECT a::INTEGER AS a, b FROM (VALUES (1, NULL), (2, NULL), (3, NULL), (7, 'other'), (8, NULL)) t(a, b)"),
+    "csv_beyond_sample": (csv_beyond_sample, "SELECT o_orderkey AS k, CASE WHEN o_orderkey > 900 THEN 'n' || o_orderkey ELSE o_orderkey::VARCHAR END AS v FROM orders"),
+    "indexed_lookup": (indexed_lookup, "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey >= 30 AND o_custkey < 34"),
+    "describe": (describe, "SELECT column_name AS \"Column\", CASE data_type WHEN 'BIGINT' THEN 'i64' WHEN 'INTEGER' THEN 'i32' WHEN 'DOUBLE' THEN 'f64' WHEN 'VARCHAR' THEN 'string8' WHEN 'TIMESTAMP' THEN 'timestamp' WHEN 'DATE' THEN 'date' ELSE data_type END AS \"Type\", 'YES' AS \"Null\", '' AS \"Key\", '' AS \"Extra\" FROM information_schema.columns WHERE table_name = 'lineitem'"),
     "analyze": (analyze, "SELECT 'nation' AS \"Table\", (SELECT count(*) FROM nation) AS \"Rows\", c AS \"Column\", d AS \"Distinct\", 0::BIGINT AS \"Nulls\" FROM (SELECT 'n_nationkey' AS c, count(DISTINCT n_nationkey) AS d FROM nation UNION ALL SELECT 'n_name', count(DISTINCT n_name) FROM nation UNION ALL SELECT 'n_regionkey', count(DISTINCT n_regionkey) FROM nation)"),
     "explain": (explain, None),
     "import_csv": (import_csv, "SELECT c_custkey, c_name, round(c_acctbal, 2) AS c_acctbal, c_mktsegment FROM customer WHERE c_nationkey < 5"),
