@@ -12,6 +12,8 @@ from collections import Counter
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: A needle of so many grams at most, each found once in it, is looked for gram by gram in generated code.
+PLAIN_GRAMS = 24
 #: The gram's length in bytes, and the most needle grams and bytes that count.
 GRAM, MOST_GRAMS, MOST_BYTES = 3, 64, 64
 
@@ -32,6 +34,11 @@ def similarity_sql(column: str, needle: str) -> str:
         return f"CASE WHEN {column} IS NULL THEN NULL WHEN {column} = {quoted(needle)} THEN 1.0D ELSE 0.0D END"
     counts = Counter([low[i : i + GRAM] for i in range(len(low) - GRAM + 1)][:MOST_GRAMS])
     n = sum(counts.values())
+    if n == len(counts) <= PLAIN_GRAMS:
+        # A text shorter than a gram holds none, and so scores 0.  Bytes of a text are looked at as they are where the needle is ASCII.
+        hay = column if needle.isascii() else f"decode(encode({column}, 'UTF-8'), 'ISO-8859-1')"
+        shared = " + ".join(f"CAST(contains({hay}, {quoted(g)}) AS INT)" for g in counts)
+        return f"(CAST({shared} AS DOUBLE) / (greatest(octet_length({column}) - {GRAM - 1}, 0) + {n} - ({shared})))"
     known = f"array({', '.join(quoted(g) for g in counts)})"
     wanted = f"array({', '.join(f'struct({quoted(g)} AS g, {k} AS n)' for g, k in counts.items())})"
     # A one-element array stands for a variable: bytes, then the grams that the needle has, then how many are shared.

@@ -40,6 +40,14 @@ def test_against_plain_loops(spark, texts, needle):
         assert r.d == plain_distance(r.x, needle)
 
 
+def test_plain_grams_stay_in_generated_code(spark):
+    df = spark.createDataFrame([("a small ring of gold",), ("ring",), ("ab",), ("",), ("smäll ring",), (None,)], "x string")
+    for needle in ("small ring", "smäll rin", "aaaa small", "abcdefghijklmnopqrstuvwxyz0123456789"):
+        got = df.select("x", F.expr(similarity_sql("x", needle)).alias("s"))
+        assert all((r.s is None) == (r.x is None) and (r.x is None or abs(r.s - plain_similarity(r.x, needle)) < 1e-12) for r in got.collect())
+        assert ("transform(" in similarity_sql("x", needle)) == (needle.startswith("aaaa") or len(needle) > 26)
+
+
 def test_null(spark):
     df = spark.createDataFrame([(None,)], "x string")
     assert df.select(F.expr(similarity_sql("x", "abc")), F.expr(edit_distance_sql("x", "abc"))).first() == (None, None)
