@@ -314,3 +314,18 @@ def _named_classes(whole: DataFrame, threshold: float, keep: set[str]) -> tuple[
     named = stored(components(links.union(more)), "components", keep)
     named = classes.join(named, "id", "left").select("fp1", "fp2", F.col("id").alias("class_id"), F.coalesce("component", "id").alias("component_id"))
     return prints, named
+
+
+ORACLE = r"""
+WITH RECURSIVE words AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
+  joined AS (SELECT doc_id, w, array_to_string(w, ' ') AS t FROM words),
+  classes AS (SELECT t, min(doc_id) AS class_id, any_value(w) AS w FROM joined GROUP BY t),
+  shingles AS (SELECT DISTINCT class_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [t] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM classes),
+  sizes AS (SELECT class_id, count(*) AS n FROM shingles GROUP BY class_id),
+  pairs AS (SELECT a.class_id AS a, b.class_id AS b, count(*) AS k FROM shingles a JOIN shingles b ON a.s = b.s AND a.class_id <> b.class_id GROUP BY a.class_id, b.class_id),
+  links AS (SELECT a, b FROM pairs JOIN sizes x ON x.class_id = a JOIN sizes y ON y.class_id = b WHERE 5 * k >= 4 * (x.n + y.n - k)),
+  reach AS (SELECT a AS id, a AS root FROM links UNION SELECT l.b, r.root FROM reach r JOIN links l ON l.a = r.id WHERE r.root < l.b),
+  named AS (SELECT id, min(root) AS root FROM reach GROUP BY id)
+SELECT d.doc_id, coalesce(c.class_id, d.doc_id) AS class_id, coalesce(n.root, c.class_id, d.doc_id) AS component_id, coalesce(n.root, c.class_id, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN joined j USING (doc_id) LEFT JOIN classes c USING (t) LEFT JOIN named n ON n.id = c.class_id
+"""

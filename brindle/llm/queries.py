@@ -71,4 +71,4 @@ SELECT * FROM r WHERE rank <= 5
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_bitsliced_topk": TOPK_SQL, "op4_line_dedup": linededup.ORACLE}
+    return {"op1_bitsliced_topk": TOPK_SQL, "op4_line_dedup": linededup.ORACLE, "op7_pq_vector_dedup": vector_dedup.ORACLE, "op8_probminhash_dedup": probminhash.ORACLE}
