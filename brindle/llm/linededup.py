@@ -27,6 +27,8 @@ MIN_CHARS = 40
 MIN_DOCS = 5
 BATCHES = 3
 FANOUT = 2
+#: Long lines for each bucket of the runs, at most.
+RUN_ROWS = 2_000_000
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -137,7 +139,7 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: i
         hashes = F.filter(F.transform(lines_of(text), lambda x, i: F.struct(i.alias("pos"), long_line_hash(x, min_chars).alias("h"))), lambda x: x["h"].isNotNull())
         held = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("text").alias("_of"), F.inline(hashes)).select("doc_id", "_of", "pos", "h.a", "h.b")
         held = stored(held, "lines")
-        store = LineRuns(spark)
+        store = LineRuns(spark, shuffle_width(spark, held.count(), RUN_ROWS))
         keep.add(store.folder)  # its tables are dropped by name
         part = F.pmod(F.xxhash64("doc_id"), F.lit(batches))
         for i in range(batches):
