@@ -171,10 +171,6 @@ def approx_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.join(exact, "l_returnflag").select("l_returnflag", (F.abs(F.col("p") - F.col("x")) <= 0.05 * F.col("x")).alias("within"))
 
 
-def percentile_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_returnflag").agg(F.round(F.percentile("l_extendedprice", 0.9), 2).alias("p"))
-
-
 def column_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine_over(spark, sf_dir, "nation region").sql("SELECT table_name, column_name, ordinal, nullable FROM column_catalog")
 
@@ -325,7 +321,6 @@ SELECT * FROM (VALUES
 SPECIAL: dict[str, tuple[Callable, str | None]] = {
     "approx_count_distinct": (approx_distinct, "SELECT l_returnflag, true AS within FROM lineitem GROUP BY l_returnflag"),
     "approx_percentile": (approx_percentile, "SELECT l_returnflag, true AS within FROM lineitem GROUP BY l_returnflag"),
-    "percentile_exact": (percentile_exact, "SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.9), 2) AS p FROM lineitem GROUP BY l_returnflag"),
     "column_catalog": (column_catalog, "SELECT * FROM (VALUES ('nation', 'n_nationkey', 0::BIGINT, 1::BIGINT), ('nation', 'n_name', 1, 1), ('nation', 'n_regionkey', 2, 1), ('region', 'r_regionkey', 0, 1), ('region', 'r_name', 1, 1)) t(table_name, column_name, ordinal, nullable)"),
     "column_catalog_whole": (column_catalog_whole, COLUMN_CATALOG),
     "describe_constraints": (describe_constraints, "SELECT * FROM (VALUES ('id', 'u32', 'NO', 'PRI', ''), ('h', 'hue', 'YES', '', ''), ('t', 'timestamp', 'YES', '', ''), ('k', 'u64', 'NO', 'UNI', ''), ('p', 'u32', 'YES', '', 'references p(id)'), ('x', 'decimal(6,2)', 'YES', '', 'indexed(by_x), check(x > 1)')) t(\"Column\", \"Type\", \"Null\", \"Key\", \"Extra\")"),
