@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from brindle import types
 from brindle.errors import EngineError
+from brindle.functions.fuzzy import quoted
 from brindle.sources.files import Files
 from brindle.types import LogicalType
 
@@ -53,6 +54,7 @@ class TableMeta:
     indexes: dict[str, str] = field(default_factory=dict)
     appends: int = 0  # since the files were last written as a whole
     streams: dict[str, int] = field(default_factory=dict)  # the last micro-batch of each stream that the table has
+    ends: dict = field(default_factory=dict)  # see Changes.ends
     frame: DataFrame | None = None  # of an attached table, which is read only
 
     def column(self, name: str) -> ColumnMeta:
@@ -75,12 +77,24 @@ class TableMeta:
         """Physical names of the indexed columns, by which rows are laid out."""
         return list(dict.fromkeys(self.column(c).physical for c in self.indexes.values()))
 
+    def within(self, column: str, descending: bool, rows: int) -> str | None:
+        """A value of a column, as SQL text, up to which (descending: from which) there are surely that many rows; None: not known.
+
+        It is that of the last layout: rows added since only add to them, and whatever takes rows away lays the table out anew.
+        """
+        found = self.column(column)
+        if self.ends.get("column") == found.physical:
+            for value, upto in self.ends["high" if descending else "low"]:
+                if upto >= rows:
+                    return f"CAST({quoted(value)} AS {found.kind.spark.simpleString()})"
+        return None
+
     @property
     def path(self) -> str:
         return f"{self.folder}/v{self.version}"
 
     def to_json(self) -> dict:
-        return {"name": self.name, "columns": [c.to_json() for c in self.columns], "folder": self.folder, "version": self.version, "made": self.made, "rows": self.rows, "indexes": self.indexes, "appends": self.appends, "streams": self.streams}
+        return {"name": self.name, "columns": [c.to_json() for c in self.columns], "folder": self.folder, "version": self.version, "made": self.made, "rows": self.rows, "indexes": self.indexes, "appends": self.appends, "streams": self.streams, "ends": self.ends}
 
     @staticmethod
     def from_json(x: dict) -> TableMeta:

@@ -26,6 +26,10 @@ from brindle.types import LogicalType, parse_literal
 _ROW = "__row"
 #: Appends after which a table's files are merged.
 MERGE_AFTER = 32
+#: Files at either end of a layout whose bounds the catalog keeps, and the longest bound that it keeps.
+END_FILES, LONGEST_END = 64, 256
+#: Types whose order is that of the values' own comparison, in Spark as in the files' statistics, and which text gives back whole.
+ORDERED = ("u32", "u64", "i32", "i64", "decimal", "date", "timestamp", "string8")
 
 
 def condition_on(table: TableMeta, renderer: Renderer, node) -> str:
@@ -79,8 +83,30 @@ class Changes:
         out.write.mode("overwrite").parquet(f"{table.folder}/v{table.version + 1}")
         table.version += 1
         table.appends = 0
+        table.ends = self.ends(table) if keys else {}
         self.catalog.save()
 
+    def ends(self, table: TableMeta) -> dict:
+        """Bounds of a laid-out table's first and last files by its leading column, each with the rows that are surely there up to it.
+
+        Files are taken by their largest values upwards ("low") and by their least downwards ("high"), so the rows add up whether or not files overlap.
+        """
+        column = next(c for c in table.columns if c.physical == table.order[0])
+        if column.kind.kind not in ORDERED:
+            return {}
+        key = F.col(column.physical)
+        files = self.spark.read.schema(table.schema).parquet(table.path).groupBy("_metadata.file_path").agg(F.min(key).alias("least"), F.max(key).alias("most"), F.count(key).alias("n")).where("n > 0").persist()
+        out: dict = {"column": column.physical}
+        for end, bound, by in (("low", "most", F.asc("most")), ("high", "least", F.desc("least"))):
+            out[end], rows = [], 0
+            for value, n in files.orderBy(by).limit(END_FILES).select(F.col(bound).cast("string"), "n").collect():  # so many rows at most
+                rows += n
+                if len(value) > LONGEST_END:
+                    break
+                out[end].append([value, rows])
+        files.unpersist()
+        return out
+
     # -- INSERT
 
     def insert(self, name: str, columns: list[str] | None, rows: list[list]) -> int:

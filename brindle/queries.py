@@ -311,6 +311,16 @@ def indexed_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.sql("create index i on t (o_custkey); select o_orderkey, o_custkey from t where o_custkey >= 30 and o_custkey < 34")
 
 
+def ordered_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First and last rows of a table by its indexed column: the scan is kept to the files at that end."""
+    e = own_engine(spark)
+    columns = [("l_partkey", e.catalog.kind("i64", ())), ("l_orderkey", e.catalog.kind("i64", ())), ("l_linenumber", e.catalog.kind("i64", ()))]
+    e.changes.replace("t", engine_over(spark, sf_dir, "lineitem").sql("select l_partkey, l_orderkey, l_linenumber from lineitem"), columns)
+    e.sql("create index i on t (l_partkey)")
+    first = e.sql("select l_partkey, l_orderkey, l_linenumber from t order by l_partkey, l_orderkey, l_linenumber limit 20 offset 3")
+    return first.union(e.sql("select * from t order by t.l_partkey desc, l_orderkey, l_linenumber limit 20"))
+
+
 COLUMN_CATALOG = """
 SELECT * FROM (VALUES
   ('p', 'id', 'u32', 0::BIGINT, 0::BIGINT, 0::BIGINT, 1::BIGINT, 0::BIGINT, '', '', 0::BIGINT, '', 0::BIGINT, '', 1::BIGINT, 3::BIGINT, 3::BIGINT, 0::BIGINT),
@@ -333,6 +343,7 @@ SPECIAL: dict[str, tuple[Callable, str | None]] = {
     "reloaded": (reloaded, "SELECT a::INTEGER AS a, b FROM (VALUES (1, NULL), (2, NULL), (3, NULL), (7, 'other'), (8, NULL)) t(a, b)"),
     "csv_beyond_sample": (csv_beyond_sample, "SELECT o_orderkey AS k, CASE WHEN o_orderkey > 900 THEN 'n' || o_orderkey ELSE o_orderkey::VARCHAR END AS v FROM orders"),
     "indexed_lookup": (indexed_lookup, "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey >= 30 AND o_custkey < 34"),
+    "ordered_walk": (ordered_walk, "SELECT * FROM (SELECT l_partkey::BIGINT AS l_partkey, l_orderkey::BIGINT AS l_orderkey, l_linenumber::BIGINT AS l_linenumber FROM lineitem ORDER BY l_partkey, l_orderkey, l_linenumber LIMIT 20 OFFSET 3) UNION ALL SELECT * FROM (SELECT l_partkey::BIGINT, l_orderkey::BIGINT, l_linenumber::BIGINT FROM lineitem ORDER BY l_partkey DESC, l_orderkey, l_linenumber LIMIT 20)"),
     "describe": (describe, "SELECT column_name AS \"Column\", CASE data_type WHEN 'BIGINT' THEN 'i64' WHEN 'INTEGER' THEN 'i32' WHEN 'DOUBLE' THEN 'f64' WHEN 'VARCHAR' THEN 'string8' WHEN 'TIMESTAMP' THEN 'timestamp' WHEN 'DATE' THEN 'date' ELSE data_type END AS \"Type\", 'YES' AS \"Null\", '' AS \"Key\", '' AS \"Extra\" FROM information_schema.columns WHERE table_name = 'lineitem'"),
     "analyze": (analyze, "SELECT 'nation' AS \"Table\", (SELECT count(*) FROM nation) AS \"Rows\", c AS \"Column\", d AS \"Distinct\", 0::BIGINT AS \"Nulls\" FROM (SELECT 'n_nationkey' AS c, count(DISTINCT n_nationkey) AS d FROM nation UNION ALL SELECT 'n_name', count(DISTINCT n_name) FROM nation UNION ALL SELECT 'n_regionkey', count(DISTINCT n_regionkey) FROM nation)"),
     "explain": (explain, "SELECT * FROM (VALUES ('FileScan', true), ('Join', true), ('HashAggregate', true), ('TakeOrderedAndProject', true), ('sizeInBytes', true), ('CartesianProduct', false)) t(part, there)"),
