@@ -2,9 +2,9 @@
 
 Documents are encoded once and written to the shared folder.  Document frequencies of all token ids are counted over
 all documents (one number for each id of the vocabulary, so the driver's share is bounded by the vocabulary).
-Documents are then ranged by a signature of their token trigrams, which brings copies and close texts
+Documents are then ranged by topic (see ``topics``; the quantiser is fitted on a sample) and, in a topic, by a signature of their token trigrams, which brings copies and close texts
 together, and packed shard by shard: a shard is a stretch of about ``SHARD_TOKENS`` tokens of a partition.  Neighbours are sought in
-the seed's own shard alone, never in others: what is near lies there, what is merely alike mostly elsewhere.  In a
+the seed's own shard alone, never in others; a topic that fills several shards is split by signature.  In a
 shard, each seed document asks the shard's BM25 inverted index for unused neighbours, which follow it
 in order of score and greedily fill its window; the document that a window's end cuts goes on in the next
 window and is its seed.  So only a shard's last window is short, and it is split into sequences whose
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from brindle.llm.common import prepare, shuffle_width, stored
 from brindle.llm.tokens import crc32_of, default_path, encoder
+from brindle.llm.topics import SAMPLE, SEED, Topics, counted
 
 WINDOW = 4096
 SHARD_TOKENS = 2_000_000
@@ -37,7 +38,7 @@ K1, B = 1.2, 0.75
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 PIECES_DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-ENCODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("n", pa.int64()), ("sig", pa.int64())])
+ENCODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("n", pa.int64()), ("sig", pa.int64()), ("topic", pa.int32())])
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -59,17 +60,35 @@ def _kind(vocabulary: int) -> str:
     return "<u2" if vocabulary <= 1 << 16 else "<u4"
 
 
-def _encode(tokenizer: str):
+def _counted(tokenizer: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = encoder(tokenizer)
+        for batch in batches:
+            found = [counted(ids) for ids in made.encode_documents(batch.column(0).to_pylist())]
+            yield pa.record_batch([pa.array([at.astype("<u2").tobytes() for at, _ in found], pa.binary()), pa.array([root.tobytes() for _, root in found], pa.binary())], ["at", "root"])
+
+    return run
+
+
+def _topics(docs: DataFrame, tokenizer: str) -> Topics:
+    """The quantiser, fitted on rows drawn one by one; a row's counts are at most 24 kB, however long its text."""
+    share = min(1.0, SAMPLE / max(1, docs.count()))
+    rows = docs.sample(share, SEED).select(F.col("text").cast("string")).mapInArrow(_counted(tokenizer), "at binary, root binary").collect()  # about SAMPLE at most
+    return Topics([(np.frombuffer(r.at, "<u2").astype(np.int64), np.frombuffer(r.root, np.float32)) for r in rows])
+
+
+def _encode(tokenizer: str, topics: Topics):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = encoder(tokenizer)
         kind = _kind(len(made.ends))
         for batch in batches:
-            doc_ids, blobs, ns, sigs = batch.column(0).to_pylist(), [], [], []
+            doc_ids, blobs, ns, sigs, tops = batch.column(0).to_pylist(), [], [], [], []
             for ids in made.encode_documents(batch.column(1).to_pylist()):
                 blobs.append(ids.astype(kind).tobytes())
                 ns.append(len(ids))
                 sigs.append(signature(ids))
-            yield pa.record_batch([pa.array(doc_ids, pa.int64()), pa.array(blobs, pa.binary()), pa.array(ns, pa.int64()), pa.array(sigs, pa.int64())], schema=ENCODED)
+                tops.append(topics.of(ids))
+            yield pa.record_batch([pa.array(doc_ids, pa.int64()), pa.array(blobs, pa.binary()), pa.array(ns, pa.int64()), pa.array(sigs, pa.int64()), pa.array(tops, pa.int32())], schema=ENCODED)
 
     return run
 
@@ -202,7 +221,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, query_terms: int | None
     spark = docs.sparkSession
     prepare(spark)
     path = tokenizer or default_path()
-    encoded = stored(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_encode(path), "doc_id long, ids binary, n long, sig long"), "encoded")
+    encoded = stored(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_encode(path, _topics(docs, path)), "doc_id long, ids binary, n long, sig long, topic int"), "encoded")
     vocabulary = len(encoder(path).ends)
     counts = encoded.select("ids").mapInArrow(_frequencies(vocabulary), "token long, df long").groupBy("token").agg(F.sum("df").alias("df")).collect()  # at most the vocabulary
     sums = encoded.agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("tokens")).first()
@@ -213,5 +232,5 @@ def pack(docs: DataFrame, tokenizer: str | None = None, query_terms: int | None
     tokens = sums.tokens or 0
     # Repeated rows are dealt by a number as well: they may be many, and which of them comes first is all the same.
     dealt = encoded.withColumn("tie", F.xxhash64("doc_id")).withColumn("row", F.monotonically_increasing_id())
-    dealt = dealt.repartitionByRange(shuffle_width(spark, tokens, TASK_TOKENS), "sig", "tie", "row").sortWithinPartitions("sig", "tie", "doc_id", "ids")
+    dealt = dealt.repartitionByRange(shuffle_width(spark, tokens, TASK_TOKENS), "topic", "sig", "tie", "row").sortWithinPartitions("topic", "sig", "tie", "doc_id", "ids")
     return dealt.select("doc_id", "ids").mapInArrow(_pack(idf, tokens / max(1, sums.docs) or 1.0, query_terms), PIECES_DDL)

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from brindle.llm import packing, tokens
+from brindle.llm import packing, tokens, topics
 from brindle.llm.token_planes import BLOCK_IDS, ShardReader, ShardWriter, from_planes, round_trip, to_planes
 from brindle.llm.tokens import CachedEncoder, default_path
 
@@ -139,6 +139,26 @@ def test_neighbours_against_brute_force_bm25(query_terms):
         assert all(want[a] >= want[b] - 1e-4 for a, b in zip(got[:-1], got[1:]))
 
 
+def test_documents_of_a_vocabulary_share_topics():
+    rng = np.random.default_rng(8)
+    docs = [(kind, (rng.zipf(1.3, rng.integers(30, 300)).clip(0, 999) + 1000 * kind).astype("<u4")) for kind in rng.integers(0, 4, 600)]
+    made = topics.Topics([topics.counted(ids) for _, ids in docs[:200]])
+    kinds = {}
+    for kind, ids in docs:
+        kinds.setdefault(made.of(ids), []).append(kind)
+    alike = sum(max(np.bincount(k)) for k in kinds.values())
+    assert alike >= 0.95 * len(docs) and len(kinds) > 4
+    changes = [max(set(kinds[t]), key=kinds[t].count) for t in sorted(kinds)]
+    assert sum(a != b for a, b in zip(changes[:-1], changes[1:])) < len(changes) / 2  # neighbouring topics are close
+
+
+def test_topics_of_odd_samples():
+    none = np.empty(0, "<u4")
+    for sample in ([], [none], [none, none], [np.array([5], "<u4")] * 3, [none, np.array([7, 7, 8], "<u4")]):
+        made = topics.Topics([topics.counted(ids) for ids in sample])
+        assert made.of(none) == 0 and 0 <= made.of(np.arange(40_000, dtype="<u4")) < max(1, len(sample))
+
+
 def test_long_texts_do_not_crowd_one_range():
     rng = np.random.default_rng(4)
     sigs = [packing.signature(rng.integers(0, 49408, n)) for n in [30] * 400 + [20_000] * 400]
