@@ -1,6 +1,6 @@
 """Lexical retrieval packing: windows filled with BM25 neighbours from a sharded inverted index.
 
-Documents are encoded once and written to the shared folder.  Document frequencies of all token ids are counted over
+Documents are encoded once and written to the shared folder.  Document frequencies of all token ids are counted on the way, over
 all documents (one number for each id of the vocabulary, so the driver's share is bounded by the vocabulary).
 Documents are then ranged by topic (see ``topics``; the quantiser is fitted on a sample) and, in a topic, by a signature of their token trigrams, which brings copies and close texts
 together, and packed shard by shard: a shard is a stretch of about ``SHARD_TOKENS`` tokens of a partition.  Neighbours are sought in
@@ -39,6 +39,8 @@ K1, B = 1.2, 0.75
 PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 PIECES_DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 ENCODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("n", pa.int64()), ("sig", pa.int64()), ("topic", pa.int32())])
+#: The topic of rows that are no documents but token ids (as doc_id), with the number of documents of a task that hold them (as n).
+COUNT = -1
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -80,7 +82,7 @@ def _topics(docs: DataFrame, tokenizer: str) -> Topics:
 def _encode(tokenizer: str, topics: Topics):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = encoder(tokenizer)
-        kind = _kind(len(made.ends))
+        kind, df = _kind(len(made.ends)), np.zeros(len(made.ends), np.int64)
         for batch in batches:
             doc_ids, blobs, ns, sigs, tops = batch.column(0).to_pylist(), [], [], [], []
             for ids in made.encode_documents(batch.column(1).to_pylist()):
@@ -88,21 +90,11 @@ def _encode(tokenizer: str, topics: Topics):
                 ns.append(len(ids))
                 sigs.append(signature(ids))
                 tops.append(topics.of(ids))
+                held = np.sort(ids.astype(kind))
+                df[held[np.flatnonzero(np.append(True, held[1:] != held[:-1]))]] += 1
             yield pa.record_batch([pa.array(doc_ids, pa.int64()), pa.array(blobs, pa.binary()), pa.array(ns, pa.int64()), pa.array(sigs, pa.int64()), pa.array(tops, pa.int32())], schema=ENCODED)
-
-    return run
-
-
-def _frequencies(vocabulary: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, kind = np.zeros(vocabulary, np.int64), _kind(vocabulary)
-        for batch in batches:
-            for blob in batch.column(0).to_pylist():
-                seen = np.zeros(vocabulary, bool)
-                seen[np.frombuffer(blob, kind)] = True
-                df[seen] += 1
-        at = np.flatnonzero(df)
-        yield pa.record_batch([pa.array(at, pa.int64()), pa.array(df[at], pa.int64())], ["token", "df"])
+        seen = np.flatnonzero(df)
+        yield pa.record_batch([pa.array(seen, pa.int64()), pa.nulls(len(seen), pa.binary()), pa.array(df[seen], pa.int64()), pa.nulls(len(seen), pa.int64()), pa.array(np.full(len(seen), COUNT), pa.int32())], schema=ENCODED)
 
     return run
 
@@ -221,9 +213,10 @@ def pack(docs: DataFrame, tokenizer: str | None = None, query_terms: int | None
     spark = docs.sparkSession
     prepare(spark)
     path = tokenizer or default_path()
-    encoded = stored(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_encode(path, _topics(docs, path)), "doc_id long, ids binary, n long, sig long, topic int"), "encoded")
+    made = stored(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_encode(path, _topics(docs, path)), "doc_id long, ids binary, n long, sig long, topic int"), "encoded")
     vocabulary = len(encoder(path).ends)
-    counts = encoded.select("ids").mapInArrow(_frequencies(vocabulary), "token long, df long").groupBy("token").agg(F.sum("df").alias("df")).collect()  # at most the vocabulary
+    counts = made.where(F.col("topic") == COUNT).groupBy(F.col("doc_id").alias("token")).agg(F.sum("n").alias("df")).collect()  # at most the vocabulary
+    encoded = made.where(F.col("topic") != COUNT).select("doc_id", "ids", "n", "sig", "topic")
     sums = encoded.agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("tokens")).first()
     df = np.zeros(vocabulary)
     for r in counts:
