@@ -5,7 +5,7 @@ all documents (one number for each id of the vocabulary, so the driver's share i
 Documents are then ranged by topic (see ``topics``; the quantiser is fitted on a sample) and, in a topic, by a signature of their token trigrams, which brings copies and close texts
 together, and packed shard by shard: a shard is a stretch of about ``SHARD_TOKENS`` tokens of a partition.  Neighbours are sought in
 the seed's own shard alone, never in others; a topic that fills several shards is split by signature, and
-documents of ``SPREAD_FROM`` tokens or more, which fill much of a window themselves, are dealt to the topics' ranges by signature, as long ones of a topic would crowd one task.  In a
+documents of ``SPREAD_FROM`` tokens or more, which fill windows by themselves, are dealt to the topics' ranges by signature, as long ones of a topic would crowd one task.  In a
 shard, each seed document asks the shard's BM25 inverted index for unused neighbours, which follow it
 in order of score and greedily fill its window; the document that a window's end cuts goes on in the next
 window and is its seed.  So only a shard's last window is short, and it is split into sequences whose
@@ -31,7 +31,7 @@ from brindle.llm.topics import SAMPLE, SEED, Topics, counted
 WINDOW = 4096
 SHARD_TOKENS = 2_000_000
 SHARD_DOCS = 8192
-SPREAD_FROM = WINDOW // 2
+SPREAD_FROM = 2 * WINDOW
 #: Terms of a seed document that ask the index, those of the highest BM25 weight over the whole document: the default of ``pack``; None asks with all.
 QUERY_TERMS = 32
 #: Tokens that a packing task reads on average at most: a few shards.
